@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -15,18 +16,20 @@ from .common import pick, pieces
 CAPACITY, OPEN_BINS = 2048, 256
 #: Documents that one packing task takes; tasks grow in number with the table, and each leaves OPEN_BINS bins at most partly empty.
 DOCS_PER_TASK = 100_000
-_WORDS_KEPT = 200_000
+_WORDS_KEPT = 300_000
 
 # Alphabet in which the byte-level pre-tokenizer's classes are fixed in every Unicode version; other texts go to the tokenizer whole.
 _LETTERS, _DIGITS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe"
 _OTHER = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-ɏ]")
+_PLAIN = re.compile(f" [{_LETTERS}]+")
 _SPLIT = re.compile(f" ?[{_LETTERS}]+| ?[{_DIGITS}]+|'(?:s|t|re|ve|m|ll|d)| ?[^\\s{_LETTERS}{_DIGITS}]+|\\s+(?!\\S)|\\s+")
 
 
 class Encoder(dict):
-    """Token ids as little-endian 32-bit words, by the tokenizer file at `path`; frequent pre-tokens are remembered.
+    """Token ids as little-endian 32-bit words, by the tokenizer file at `path`; pre-tokens' ids are remembered.
 
-    Byte-pair merges never cross pre-tokens, so a text's ids are its pre-tokens' ids in order.
+    Byte-pair merges never cross pre-tokens, so a text's ids are its pre-tokens' ids in order. Pre-tokens not yet known
+    are encoded together: a run of words that each begin with a space splits into just these words.
     """
 
     def __init__(self, path: str):
@@ -37,18 +40,27 @@ class Encoder(dict):
 
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return b"".join([i.to_bytes(4, "little") for i in ids])
-
-    def __missing__(self, word: str) -> bytes:
-        out = self.whole(word)
-        if len(self) < _WORDS_KEPT:
-            self[word] = out
-        return out
-
-    def ids(self, text: str) -> bytes:
-        if _OTHER.search(text):
-            return self.whole(text)
-        return b"".join([self[w] for w in _SPLIT.findall(text)])
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def learn(self, words: set[str]) -> None:
+        if len(self) > _WORDS_KEPT:
+            self.clear()
+        words = [w for w in words if w not in self]
+        plain = [w for w in words if _PLAIN.fullmatch(w)]
+        for lo in range(0, len(plain), 1000):
+            group = plain[lo : lo + 1000]
+            e = self.tokenizer.encode("".join(group), add_special_tokens=False)
+            ids = [[] for _ in group]
+            for token, n in zip(e.ids, e.word_ids, strict=True):
+                ids[n].append(token)
+            self.update((w, struct.pack(f"<{len(x)}I", *x)) for w, x in zip(group, ids, strict=True))
+        self.update((w, self.whole(w)) for w in words if w not in self)
+
+    def ids(self, texts: list[str]) -> Iterator[bytes]:
+        split = [None if _OTHER.search(t) else _SPLIT.findall(t) for t in texts]
+        self.learn(set().union(*(w for w in split if w)))
+        for t, words in zip(texts, split, strict=True):
+            yield self.whole(t) if words is None else b"".join(map(self.__getitem__, words))
 
 
 def cut(length: int, capacity: int) -> list[tuple[int, int]]:
@@ -95,8 +107,8 @@ def _tokenise(path: str, capacity: int):
         encode = Encoder(path)
         for b in pieces(batches):
             at, number, starts, lens, crcs = [], [], [], [], []
-            for i, text in enumerate(b.column("text").to_pylist()):
-                ids = encode.ids(text or "") + bytes(4)
+            for i, ids in enumerate(encode.ids([t or "" for t in b.column("text").to_pylist()])):
+                ids += bytes(4)
                 for n, (s, x) in enumerate(cut(len(ids) // 4, capacity)):
                     at.append(i)
                     number.append(n)

@@ -7,6 +7,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,10 +51,9 @@ class Encoder(dict):
         for lo in range(0, len(plain), 1000):
             group = plain[lo : lo + 1000]
             e = self.tokenizer.encode("".join(group), add_special_tokens=False)
-            ids = [[] for _ in group]
-            for token, n in zip(e.ids, e.word_ids, strict=True):
-                ids[n].append(token)
-            self.update((w, struct.pack(f"<{len(x)}I", *x)) for w, x in zip(group, ids, strict=True))
+            data = np.array(e.ids, "<u4").tobytes()
+            cuts = (4 * np.searchsorted(np.array(e.word_ids), np.arange(len(group) + 1))).tolist()
+            self.update((w, data[i:j]) for w, i, j in zip(group, cuts, cuts[1:], strict=False))
         self.update((w, self.whole(w)) for w in words if w not in self)
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import sha_of_list
 from .decontaminate import find_contamination
+from .minhash import near_duplicates
 from .packing import pack
 from .topk import exact_topk
 from .url_rules import judge_urls
@@ -44,6 +45,23 @@ SELECT page_id, n::BIGINT AS payload_bytes, sha256(html) AS payload_digest,
 FROM f"""
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
+OP6_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+     s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + least(3, len(w)) - 1], ' ') AS g
+           FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - least(3, len(w)) + 1)) AS i FROM d WHERE len(w) > 0)),
+     n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+     p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+     e AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * k >= 85 * (x.n + y.n - k)),
+     r AS (SELECT doc_id, doc_id AS m FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.m = e.a),
+     c AS (SELECT doc_id, min(m) AS component_id FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)"""
+
+
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), URL_RULES)
 
@@ -89,5 +107,5 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
 FROM d LEFT JOIN places ON d.doc_id = places.doc_id LEFT JOIN items ON d.doc_id = items.doc_id"""
 
 
-QUERIES = {"op1_warc": op1_warc, "op7_url_rules": op7_url_rules, "op8_topk": op8_topk, "op9_packing": op9_packing, "op10_decontaminate": op10_decontaminate}
-ORACLE_SQL = {"op1_warc": OP1_SQL, "op8_topk": OP8_SQL, "op10_decontaminate": OP10_SQL}
+QUERIES = {"op1_warc": op1_warc, "op6_minhash": op6_minhash, "op7_url_rules": op7_url_rules, "op8_topk": op8_topk, "op9_packing": op9_packing, "op10_decontaminate": op10_decontaminate}
+ORACLE_SQL = {"op1_warc": OP1_SQL, "op6_minhash": OP6_SQL, "op8_topk": OP8_SQL, "op10_decontaminate": OP10_SQL}

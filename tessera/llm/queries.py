@@ -12,7 +12,9 @@ from .common import sha_of_list
 from .decontaminate import find_contamination
 from .minhash import near_duplicates
 from .packing import pack
+from .pii import KINDS, find_pii, listed
 from .topk import exact_topk
+from .toxicity import score as toxicity_score
 from .url_rules import judge_urls
 from .warc_zip import read_archives, write_archives
 
@@ -45,6 +47,20 @@ SELECT page_id, n::BIGINT AS payload_bytes, sha256(html) AS payload_digest,
 FROM f"""
 
 
+def _of_kind(number: int):
+    return lambda s: s["kind"] == number
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", _of_kind(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    return found.select("doc_id", *counts, F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
@@ -107,5 +123,5 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
 FROM d LEFT JOIN places ON d.doc_id = places.doc_id LEFT JOIN items ON d.doc_id = items.doc_id"""
 
 
-QUERIES = {"op1_warc": op1_warc, "op6_minhash": op6_minhash, "op7_url_rules": op7_url_rules, "op8_topk": op8_topk, "op9_packing": op9_packing, "op10_decontaminate": op10_decontaminate}
+QUERIES = {"op1_warc": op1_warc, "op3_pii": op3_pii, "op4_toxicity": op4_toxicity, "op6_minhash": op6_minhash, "op7_url_rules": op7_url_rules, "op8_topk": op8_topk, "op9_packing": op9_packing, "op10_decontaminate": op10_decontaminate}
 ORACLE_SQL = {"op1_warc": OP1_SQL, "op6_minhash": OP6_SQL, "op8_topk": OP8_SQL, "op10_decontaminate": OP10_SQL}

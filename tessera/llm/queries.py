@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import sha_of_list
 from .decontaminate import find_contamination
+from .html_text import extract_text
 from .minhash import near_duplicates
 from .packing import pack
 from .pii import KINDS, find_pii, listed
@@ -47,6 +48,10 @@ SELECT page_id, n::BIGINT AS payload_bytes, sha256(html) AS payload_digest,
 FROM f"""
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def _of_kind(number: int):
     return lambda s: s["kind"] == number
 
@@ -123,5 +128,5 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
 FROM d LEFT JOIN places ON d.doc_id = places.doc_id LEFT JOIN items ON d.doc_id = items.doc_id"""
 
 
-QUERIES = {"op1_warc": op1_warc, "op3_pii": op3_pii, "op4_toxicity": op4_toxicity, "op6_minhash": op6_minhash, "op7_url_rules": op7_url_rules, "op8_topk": op8_topk, "op9_packing": op9_packing, "op10_decontaminate": op10_decontaminate}
+QUERIES = {"op1_warc": op1_warc, "op2_html_text": op2_html_text, "op3_pii": op3_pii, "op4_toxicity": op4_toxicity, "op6_minhash": op6_minhash, "op7_url_rules": op7_url_rules, "op8_topk": op8_topk, "op9_packing": op9_packing, "op10_decontaminate": op10_decontaminate}
 ORACLE_SQL = {"op1_warc": OP1_SQL, "op6_minhash": OP6_SQL, "op8_topk": OP8_SQL, "op10_decontaminate": OP10_SQL}

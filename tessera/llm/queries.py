@@ -14,6 +14,7 @@ from .html_text import extract_text
 from .minhash import near_duplicates
 from .packing import pack
 from .pii import KINDS, find_pii, listed
+from .substrings import remove_repeats
 from .topk import exact_topk
 from .toxicity import score as toxicity_score
 from .url_rules import judge_urls
@@ -66,6 +67,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
@@ -128,5 +135,5 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
 FROM d LEFT JOIN places ON d.doc_id = places.doc_id LEFT JOIN items ON d.doc_id = items.doc_id"""
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_html_text": op2_html_text, "op3_pii": op3_pii, "op4_toxicity": op4_toxicity, "op6_minhash": op6_minhash, "op7_url_rules": op7_url_rules, "op8_topk": op8_topk, "op9_packing": op9_packing, "op10_decontaminate": op10_decontaminate}
+QUERIES = {"op1_warc": op1_warc, "op2_html_text": op2_html_text, "op3_pii": op3_pii, "op4_toxicity": op4_toxicity, "op5_repeats": op5_repeats, "op6_minhash": op6_minhash, "op7_url_rules": op7_url_rules, "op8_topk": op8_topk, "op9_packing": op9_packing, "op10_decontaminate": op10_decontaminate}
 ORACLE_SQL = {"op1_warc": OP1_SQL, "op6_minhash": OP6_SQL, "op8_topk": OP8_SQL, "op10_decontaminate": OP10_SQL}

@@ -85,6 +85,14 @@ def base_spans(docs: DataFrame, *keep: str) -> DataFrame:
     return rows.select(*keep, "text", F.array_sort(F.concat(*[_tagged(k, valid[k]) for k in KINDS])).alias("base"))
 
 
+def _key() -> list[Column]:
+    """128 bits of an id and a text: rows with both equal have the same spans."""
+    return [F.xxhash64("text", "doc_id").alias("ka"), F.xxhash64("doc_id", F.lit(7), "text").alias("kb")]
+
+
+_ADDED = "array<struct<start:bigint,kind:int,end:bigint,value:string>>"
+
+
 def find_pii(docs: DataFrame) -> DataFrame:
     """Per document row: doc_id, base, added; both arrays of (start, kind number in KINDS, end, value), sorted.
 
@@ -98,7 +106,22 @@ def find_pii(docs: DataFrame) -> DataFrame:
     whatever follows; an instance's score is 1 for a seed, else the chance that one of its patterns is right. Both are
     scored in turn, ROUNDS times, over all documents. Patterns of MIN_CONFIDENCE name their seeds' commonest kind.
     """
-    found = base_spans(docs, "doc_id").withColumn("row", F.monotonically_increasing_id())
+    held, new, n = _bootstrap(docs)
+    return held.join(small(new, n), ["ka", "kb"], "left").select("doc_id", "base", F.coalesce("added", F.array().cast(_ADDED)).alias("added"))
+
+
+def redact(docs: DataFrame, *keep: str) -> DataFrame:
+    """The `keep` columns (doc_id and text among them) of every row, each span of find_pii in text replaced by its kind."""
+    _, new, n = _bootstrap(docs)
+    others = [c for c in keep if c not in ("doc_id", "text")]
+    rows = base_spans(docs, "doc_id", *others).withColumns(dict(zip(("ka", "kb"), _key(), strict=True)))
+    rows = rows.join(small(new, n), ["ka", "kb"], "left").withColumn("text", masked(F.col("text"), F.concat("base", F.coalesce("added", F.array().cast(_ADDED)))))
+    return rows.select(*keep)
+
+
+def _bootstrap(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(rows with key, doc_id and base; added spans by key; the latter's number), all stored."""
+    found = base_spans(docs, "doc_id")
     text = F.col("text")
     plain = F.when(F.col("has"), matches(text, CANDIDATE)).otherwise(F.array().cast(_SPANS))
     near = found.withColumn("has", text.rlike("[0-9@]")).withColumn("all", plain)
@@ -106,7 +129,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     apart = lambda s, base: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     others = F.transform(F.filter("all", lambda s: apart(s, F.col("base"))), lambda s: F.struct(_context(text, s["start"]).alias("pattern"), s["start"].alias("start"), (s["start"] + F.char_length(cut(s))).alias("end"), cut(s).alias("value")))
     seeds = F.transform("base", lambda s: F.struct(_context(text, s["start"]).alias("pattern"), s["kind"].alias("kind"), s["value"].alias("value")))
-    held = stored(near.select("row", "doc_id", "base", others.alias("others"), seeds.alias("seeds")), "spans")
+    held = stored(near.select(*_key(), "doc_id", "base", others.alias("others"), seeds.alias("seeds")), "spans")
 
     seed = held.select(F.explode("seeds").alias("s")).select("s.*").filter("pattern is not null")
     kinds = seed.groupBy("pattern", "kind").agg(F.approx_count_distinct("value").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
@@ -130,10 +153,9 @@ def find_pii(docs: DataFrame) -> DataFrame:
         scores = stored(edges.join(sure, "pattern").groupBy("value").agg(F.when(F.max("seed"), 1.0).otherwise(1 - wrong).alias("score")), "scores")
     good = stored(sure.filter(F.col("confidence") >= MIN_CONFIDENCE).join(patterns, "pattern").select("pattern", "kind"), "patterns")
 
-    new = held.select("row", F.explode("others").alias("s")).select("row", "s.*").filter("pattern is not null and end > start").join(small(good, good.count()), "pattern")
-    new = stored(new.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "kind", "end", "value"))).alias("added")), "added")
-    added = F.coalesce("added", F.array().cast("array<struct<start:bigint,kind:int,end:bigint,value:string>>"))
-    return held.select("row", "doc_id", "base").join(small(new, new.count()), "row", "left").select("doc_id", "base", added.alias("added"))
+    new = held.select("ka", "kb", F.explode("others").alias("s")).select("ka", "kb", "s.*").filter("pattern is not null and end > start").join(small(good, good.count()), "pattern")
+    new = stored(new.groupBy("ka", "kb").agg(F.array_sort(F.collect_set(F.struct("start", "kind", "end", "value"))).alias("added")), "added")
+    return held, new, new.count()
 
 
 def listed(spans: Column) -> Column:

@@ -219,10 +219,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS):
     return Featuriser(featurise.lexicon), Boosted().fit(x[order], y[order], split[order])
 
 
-def score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Per document row: doc_id, held_out, score (0 to 1), predicted (score >= 0.5).
+def score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per document row: doc_id, held_out, score (0 to 1), predicted (score >= 0.5), and the further columns in `carry`.
 
-    docs: doc_id, text; labels: doc_id, toxic; further columns are ignored. Only the text gives features. Null texts
+    docs: doc_id, text; labels: doc_id, toxic; other columns are ignored. Only the text gives features. Null texts
     count as empty, and empty ones are scored. Rows repeating an id are scored one by one; null ids are scored and not
     held out. An empty table gives no rows; without labels of both classes every row gets the share of toxic labels.
     Texts aren't shuffled, but for the sample of about sample_rows labelled rows.
@@ -230,11 +230,14 @@ def score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     featurise, model = fit(docs, labels, sample_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches):
-            x = featurise([t or "" for t in b.column("text").to_pylist()])
+        for b in pieces(batches, "_text"):
+            x = featurise([t or "" for t in b.column("_text").to_pylist()])
             s = np.full(len(x), model) if isinstance(model, float) else model.score(x)
-            yield pa.RecordBatch.from_arrays([*b.drop_columns(["text"]).columns, pa.array(s)], names=["doc_id", "held_out", "score"])
-
-    base = pick(docs, "doc_id", "text").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    kind = base.schema["doc_id"].dataType.simpleString()
-    return base.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+            yield pa.RecordBatch.from_arrays([*b.drop_columns(["_text"]).columns, pa.array(s)], names=[*b.schema.names[:-1], "score"])
+
+    cols = ["doc_id", *carry]
+    base = pick(docs, *cols, "text").toDF(*[f"_{i}" for i in range(len(cols))], "_text").withColumn("_text", F.col("_text").cast("string"))
+    base = base.select(*base.columns[:-1], held_out(F.col("_0")).alias("held_out"), "_text")
+    kinds = ", ".join(f"`{n}` {t}" for n, t in base.dtypes[:-1])
+    out = base.mapInArrow(run, f"{kinds}, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return out.toDF("doc_id", *carry, "held_out", "score", "predicted")

@@ -81,9 +81,13 @@ def lower_(x: Any, env: Env, codec: Any = None) -> Column:
     return codec.encode(x) if codec is not None and x is not None else F.lit(x)
 
 
+def codec_of(x: Any) -> Any:
+    return x.codec if isinstance(x, Expr) else None
+
+
 def _binary(op: Callable[[Column, Column], Column]):
     def make(left: Any, right: Any) -> Expr:
-        return Expr(lambda env: op(lower_(left, env), lower_(right, env, getattr(left, "codec", None))))
+        return Expr(lambda env: op(lower_(left, env), lower_(right, env, codec_of(left))))
 
     return make
 
@@ -104,11 +108,7 @@ def _fold(c: Column) -> Column:
 
 def like(x: Any, pattern: Any) -> Expr:
     """% and _ match as in SQL, A-Z without regard to case; no character escapes."""
-    return Expr(lambda env: F.expr("true") & _like(lower_(x, env), lower_(pattern, env)))
-
-
-def _like(x: Column, pattern: Column) -> Column:
-    return F.like(_fold(x), F.replace(_fold(pattern), F.lit("\\"), F.lit("\\\\")))
+    return Expr(lambda env: F.like(_fold(lower_(x, env)), F.replace(_fold(lower_(pattern, env)), F.lit("\\"), F.lit("\\\\"))))
 
 
 def not_like(x: Any, pattern: Any) -> Expr:
@@ -168,7 +168,7 @@ def not_(x: Any) -> Expr:
 
 
 def between(x: Any, low: Any, high: Any) -> Expr:
-    codec = getattr(x, "codec", None)
+    codec = codec_of(x)
     return Expr(lambda env: lower_(x, env).between(lower_(low, env, codec), lower_(high, env, codec)))
 
 
@@ -182,7 +182,7 @@ def in_(x: Any, values: Any) -> Expr:
         return Expr(lambda env: lower_(x, env).isin(values if isinstance(values, DataFrame) else values.df(**env)))
     if isinstance(values, (str, bytes, Placeholder)) or not isinstance(values, Sequence):
         raise CompileError("in_ takes a list, a DataFrame or a query")
-    codec = getattr(x, "codec", None)
+    codec = codec_of(x)
     return Expr(lambda env: lower_(x, env).isin(*[lower_(v, env, codec) for v in values]) if values else F.lit(False))
 
 
@@ -291,11 +291,11 @@ def avg(x: Any) -> Expr:
 
 
 def min_(x: Any) -> Expr:
-    return _aggregate(lambda env: F.min(lower_(x, env)), getattr(x, "codec", None))
+    return _aggregate(lambda env: F.min(lower_(x, env)), codec_of(x))
 
 
 def max_(x: Any) -> Expr:
-    return _aggregate(lambda env: F.max(lower_(x, env)), getattr(x, "codec", None))
+    return _aggregate(lambda env: F.max(lower_(x, env)), codec_of(x))
 
 
 def list_of(x: Any) -> Expr:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.expressions import CompileError, Expr, Order, Placeholder, Ref, lower_, quote
+from ..functions.expressions import CompileError, Expr, Order, Placeholder, Ref, codec_of, lower_, quote
 from ..sources.schema import Database, Table
 
 
@@ -153,7 +153,7 @@ class Select:
     @staticmethod
     def _leaf(v: Any, env: Mapping[str, Any]) -> C:
         c = lower_(v, env)
-        codec = getattr(v, "codec", None)
+        codec = codec_of(v)
         return F.when(c.isNotNull(), codec.decode(c)) if codec is not None else c
 
     def df(self, **env: Any) -> DataFrame:

@@ -1,4 +1,499 @@
-"""Registered queries of the relational operators and their SQL."""
+"""Registered queries of the relational operators over the generated tables, each with its SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.expressions import (
+    Expr, add, and_, asc, avg, between, coalesce, contains, count, count_distinct, desc, divide, ends_with, eq, eq_folded, exists, glob, gt, gte, ilike, in_, is_not_null, is_null, length, like, lower, lt, lte, max_, min_, multiply, ne, not_, not_between, not_exists, not_in, not_like, or_, ph, raw, starts_with, subtract, sum_, upper,
+)
+from ..operators.mutations import check_reference, check_unique, consume_one, delete, increment_one, insert, new_rows, update, upsert
+from ..operators.relations import Loader, RelationGraph, many, one
+from ..operators.select import Select, latest_per_group, query
+from ..sources.kit import impact_closure, vocabulary_divergences
+from ..sources.schema import Database, Table, alias_of, list_source
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+KEYS = {"region": ("r_regionkey",), "nation": ("n_nationkey",), "customer": ("c_custkey",), "supplier": ("s_suppkey",), "part": ("p_partkey",), "orders": ("o_orderkey",), "events": ("event_id",), "conversations": ("conv_id", "turn")}
+
+
+class Star:
+    """The star schema's tables, query builder and relation graph."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.db = spark, Database(spark, folder)
+
+    def __getattr__(self, name: str) -> Table:
+        return self.db.table(name, KEYS.get(name, ()))
+
+    def q(self, source: object = None) -> Select:
+        return query(self.db).from_(source) if source is not None else query(self.db)
+
+    def loader(self) -> Loader:
+        names = ("region", "nation", "customer", "orders", "lineitem", "part", "conversations")
+        edges = {
+            "region": {"nations": many("nation")}, "nation": {"region": one("region", "n_regionkey", "r_regionkey"), "customers": many("customer")},
+            "customer": {"nation": one("nation", "c_nationkey", "n_nationkey"), "orders": many("orders"), "open_orders": many("orders", "c_custkey", "o_custkey", where={"o_orderstatus": "O"})},
+            "orders": {"customer": one("customer", "o_custkey", "c_custkey"), "lines": many("lineitem", "o_orderkey", "l_orderkey"), "parts": many("part", "o_orderkey", "p_partkey", through=("lineitem", ("l_orderkey",), ("l_partkey",)))},
+            "part": {"orders": many("orders")},
+            "conversations": {"same": many("conversations", ("conv_id", "turn"), ("conv_id", "turn"))},
+        }
+        return Loader(self.db, RelationGraph({n: getattr(self, n) for n in names}, edges))
+
+
+def _query(name: str, sql: str | None):
+    def register(f: Callable[[Star], DataFrame]):
+        QUERIES[name] = lambda spark, folder: f(Star(spark, folder))
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return register
+
+
+# --- sources, projection, predicates
+
+
+@_query("S1_select_filter_project", "SELECT o_orderkey AS id, o_totalprice AS price FROM orders WHERE o_totalprice > 100000 AND o_orderstatus <> 'F' AND o_orderkey >= 10 AND o_orderkey <= 9000 AND o_custkey < 1200")
+def _(s):
+    o = s.orders
+    return s.q(o).select({"id": o["o_orderkey"], "price": o["o_totalprice"]}).where(and_(gt(o["o_totalprice"], 100000), ne(o["o_orderstatus"], "F"), gte(o["o_orderkey"], 10), lte(o["o_orderkey"], 9000), lt(o["o_custkey"], 1200))).df()
+
+
+@_query("S2_self_join_alias", "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+def _(s):
+    a, b = alias_of(s.nation, "a"), alias_of(s.nation, "b")
+    return s.q(a).inner_join(b, and_(eq(a["n_regionkey"], b["n_regionkey"]), lt(a["n_nationkey"], b["n_nationkey"]))).select({"a": a["n_name"], "b": b["n_name"]}).df()
+
+
+@_query("S3_subquery_from", "SELECT k AS custkey, n FROM (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY o_custkey) x WHERE n > 12")
+def _(s):
+    o = s.orders
+    x = s.q(o).select({"k": o["o_custkey"], "n": count()}).group_by(o["o_custkey"]).as_("x")
+    return s.q(x).select({"custkey": x["k"], "n": x["n"]}).where(gt(x["n"], 12)).df()
+
+
+@_query("S4_aliased_subquery", "WITH x AS (SELECT n_regionkey AS k, count(*) AS n FROM nation GROUP BY 1) SELECT a.k AS k, a.n + b.n AS n FROM x a JOIN x b ON a.k = b.k")
+def _(s):
+    t = s.nation
+    x = s.q(t).select({"k": t["n_regionkey"], "n": count()}).group_by(t["n_regionkey"]).as_("x")
+    a, b = x.renamed("a"), x.renamed("b")
+    return s.q(a).inner_join(b, eq(a["k"], b["k"])).select({"k": a["k"], "n": add(a["n"], b["n"])}).df()
+
+
+@_query("S5_no_from", "SELECT 1 + 2 AS three, 'x' AS x")
+def _(s):
+    return s.q().select({"three": raw("1 + 2"), "x": raw("'x'")}).df()
+
+
+@_query("S6_raw_statement", "SELECT n_regionkey AS r, count(*) AS n FROM nation WHERE n_nationkey < 20 GROUP BY n_regionkey")
+def _(s):
+    return s.db.execute("SELECT n_regionkey AS r, count(*) AS n FROM nation WHERE n_nationkey < :most GROUP BY n_regionkey", {"most": 20}, ("nation",))
+
+
+@_query("S7_raw_fragment", "SELECT c_custkey, upper(substr(c_mktsegment, 1, 3)) AS seg FROM customer WHERE c_custkey % 7 = 0")
+def _(s):
+    c = s.customer
+    return s.q(c).select({"c_custkey": c["c_custkey"], "seg": raw("upper(substr(c_mktsegment, 1, 3))")}).where(raw("c_custkey % 7 = 0")).df()
+
+
+@_query("S8_foreign_expression", "SELECT c_custkey, round(c_acctbal, 0) AS bal FROM customer WHERE c_acctbal > 9000")
+def _(s):
+    c = s.customer
+    return s.q(c).select({"c_custkey": c["c_custkey"], "bal": F.round("c_acctbal", 0)}).where(F.col("c_acctbal") > 9000).df()
+
+
+@_query("S9_list_source", "SELECT n_name FROM nation WHERE n_nationkey IN (1, 3, 5)")
+def _(s):
+    t = s.nation
+    return s.q(t).select({"n_name": t["n_name"]}).where(in_(t["n_nationkey"], list_source(s.spark, "[1,3,5]", "int"))).df()
+
+
+@_query("P1_implicit_projection", "SELECT * FROM region")
+def _(s):
+    return s.q(s.region).df()
+
+
+@_query("P2_implicit_join_groups", "SELECT o.o_orderkey AS id, l.l_partkey AS part, l.l_orderkey IS NULL AS missed FROM orders o LEFT JOIN lineitem l ON o.o_orderkey = l.l_orderkey WHERE o.o_orderkey < 2000")
+def _(s):
+    o, line = s.orders, s.lineitem
+    rows = s.q(o).left_join(line, eq(o["o_orderkey"], line["l_orderkey"])).where(lt(o["o_orderkey"], 2000)).df()
+    return rows.select(F.col("orders.o_orderkey").alias("id"), F.col("lineitem.l_partkey").alias("part"), F.col("lineitem").isNull().alias("missed"))
+
+
+@_query("P4_nested_projection", "SELECT c_custkey AS id, c_name AS name, c_mktsegment AS seg FROM customer")
+def _(s):
+    c = s.customer
+    return s.q(c).select({"id": c["c_custkey"], "who": {"name": c["c_name"], "more": {"seg": c["c_mktsegment"]}}}).df().select("id", "who.name", "who.more.seg")
+
+
+@_query("P5_key_collision", "SELECT a.n_name AS left_name, b.r_name AS right_name FROM nation a JOIN region b ON a.n_regionkey = b.r_regionkey")
+def _(s):
+    n, r = s.nation, s.region
+    return s.q(n).inner_join(r, eq(n["n_regionkey"], r["r_regionkey"])).select({"a": {"name": n["n_name"]}, "b": {"name": r["r_name"]}}).df().select(F.col("a.name").alias("left_name"), F.col("b.name").alias("right_name"))
+
+
+@_query("P7_distinct_rows", "SELECT DISTINCT l_returnflag AS f, l_linestatus AS s FROM lineitem")
+def _(s):
+    t = s.lineitem
+    return s.q(t).select({"f": t["l_returnflag"], "s": t["l_linestatus"]}).distinct().df()
+
+
+@_query("P9_explicit_group_collapse", "SELECT d.doc_id AS id, l.doc_id IS NULL AS missed, l.toxic AS toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def _(s):
+    d, t = s.documents, s.labels
+    rows = s.q(d).left_join(t, eq(d["doc_id"], t["doc_id"])).select({"id": d["doc_id"], "label": {"toxic": t["toxic"], "quality": t["quality"]}}).df()
+    return rows.select("id", F.col("label").isNull().alias("missed"), F.col("label.toxic").alias("toxic"))
+
+
+@_query("P13_extras", "SELECT n_nationkey, n_name, length(n_name) AS size FROM nation")
+def _(s):
+    return s.loader().find_many("nation", {"columns": {"n_nationkey": True, "n_name": True}, "extras": {"size": lambda t, x: F.length("n_name").cast("long")}})
+
+
+@_query("P14_column_choice", "SELECT n_nationkey, n_regionkey FROM nation")
+def _(s):
+    return s.loader().find_many("nation", {"columns": {"n_name": False}})
+
+
+def _where(name: str, table: str, key: str, condition, sql: str) -> None:
+    @_query(name, f"SELECT {key} FROM {table} WHERE {sql}")
+    def _(s):
+        t = getattr(s, table)
+        return s.q(t).select({key: t[key]}).where(condition(s, t)).df()
+
+
+_where("F7_like_folds_case", "customer", "c_custkey", lambda s, t: like(t["c_mktsegment"], "%BUILD%"), "c_mktsegment ILIKE '%BUILD%'")
+_where("F8_not_like", "customer", "c_custkey", lambda s, t: not_like(t["c_mktsegment"], "b_il%"), "c_mktsegment NOT ILIKE 'b_il%'")
+_where("F9_ilike", "part", "p_partkey", lambda s, t: ilike(t["p_type"], "%brass%"), "p_type ILIKE '%brass%'")
+_where("F11_glob", "part", "p_partkey", lambda s, t: glob(t["p_brand"], "Brand#[1-3]*"), "p_brand GLOB 'Brand#[1-3]*'")
+_where("F12_is_null", "documents", "doc_id", lambda s, t: or_(is_null(t["text"]), eq(t["lang"], "de")), "text IS NULL OR lang = 'de'")
+_where("F13_is_not_null", "documents", "doc_id", lambda s, t: and_(is_not_null(t["text"]), eq(t["lang"], "fr")), "text IS NOT NULL AND lang = 'fr'")
+_where("F14_and_or_not", "orders", "o_orderkey", lambda s, t: and_(or_(eq(t["o_orderstatus"], "F"), gt(t["o_totalprice"], 400000)), not_(eq(t["o_orderpriority"], "1-URGENT")), None), "(o_orderstatus = 'F' OR o_totalprice > 400000) AND NOT o_orderpriority = '1-URGENT'")
+_where("F17_between", "part", "p_partkey", lambda s, t: between(t["p_size"], 10, 20), "p_size BETWEEN 10 AND 20")
+_where("F18_not_between", "part", "p_partkey", lambda s, t: not_between(t["p_size"], 5, 45), "p_size NOT BETWEEN 5 AND 45")
+_where("F21_in_list", "customer", "c_custkey", lambda s, t: in_(t["c_nationkey"], [1, 2, 3]), "c_nationkey IN (1, 2, 3)")
+_where("F21_in_list_long", "customer", "c_custkey", lambda s, t: in_(t["c_custkey"], list(range(0, 400, 3))), "c_custkey IN (SELECT range FROM range(0, 400, 3))")
+_where("F21_in_empty", "customer", "c_custkey", lambda s, t: in_(t["c_custkey"], []), "false")
+_where("F22_not_in_empty", "customer", "c_custkey", lambda s, t: not_in(t["c_custkey"], []), "true")
+_where("F22_not_in_list", "customer", "c_custkey", lambda s, t: not_in(t["c_mktsegment"], ["BUILDING", "MACHINERY"]), "c_mktsegment NOT IN ('BUILDING', 'MACHINERY')")
+_where("F6_eq_null", "customer", "c_custkey", lambda s, t: eq(t["c_custkey"], None), "c_custkey = NULL")
+_where("F41_contains", "customer", "c_custkey", lambda s, t: contains(t["c_name"], "#00000012"), "contains(lower(c_name), lower('#00000012'))")
+_where("F41_starts_ends", "part", "p_partkey", lambda s, t: or_(starts_with(t["p_type"], "promo"), ends_with(t["p_type"], "STEEL")), "starts_with(lower(p_type), 'promo') OR ends_with(lower(p_type), 'steel')")
+_where("F42_eq_folded", "customer", "c_custkey", lambda s, t: eq_folded(t["c_mktsegment"], "building"), "lower(c_mktsegment) = 'building'")
+
+
+@_query("F19_exists_uncorrelated", "SELECT r_name FROM region WHERE EXISTS (SELECT 1 FROM nation WHERE n_nationkey = 3)")
+def _(s):
+    n, r = s.nation, s.region
+    return s.q(r).select({"r_name": r["r_name"]}).where(exists(s.q(n).select({"k": n["n_nationkey"]}).where(eq(n["n_nationkey"], 3)))).df()
+
+
+@_query("F20_not_exists", "SELECT r_name FROM region WHERE NOT EXISTS (SELECT 1 FROM nation WHERE n_nationkey = 99)")
+def _(s):
+    n, r = s.nation, s.region
+    return s.q(r).select({"r_name": r["r_name"]}).where(not_exists(s.q(n).select({"k": n["n_nationkey"]}).where(eq(n["n_nationkey"], 99)))).df()
+
+
+@_query("F23_in_subquery", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000)")
+def _(s):
+    c, o = s.customer, s.orders
+    return s.q(c).select({"c_custkey": c["c_custkey"]}).where(in_(c["c_custkey"], s.q(o).select({"k": o["o_custkey"]}).where(gt(o["o_totalprice"], 450000)))).df()
+
+
+@_query("F23_not_in_subquery", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def _(s):
+    o, line = s.orders, s.lineitem
+    return s.q(o).select({"o_orderkey": o["o_orderkey"]}).where(not_in(o["o_orderkey"], s.q(line).select({"k": line["l_orderkey"]}))).df()
+
+
+@_query("F26_where_replaced", "SELECT n_name FROM nation WHERE n_regionkey = 2")
+def _(s):
+    n = s.nation
+    return s.q(n).select({"n_name": n["n_name"]}).where(eq(n["n_regionkey"], 1)).where(eq(n["n_regionkey"], 2)).df()
+
+
+def _filter(name: str, table: str, key: str, where: dict, sql: str) -> None:
+    @_query(name, f"SELECT {key} FROM {table} t WHERE {sql}")
+    def _(s):
+        return s.loader().find_many(table, {"columns": {key: True}, "where": where})
+
+
+_filter("F28_filter_scalar", "orders", "o_orderkey", {"o_orderstatus": "P"}, "o_orderstatus = 'P'")
+_filter("F29_filter_ops", "orders", "o_orderkey", {"o_totalprice": {"gt": 100000, "lte": 200000}, "o_orderpriority": {"in": ["1-URGENT", "2-HIGH"]}}, "o_totalprice > 100000 AND o_totalprice <= 200000 AND o_orderpriority IN ('1-URGENT', '2-HIGH')")
+_filter("F30_filter_null_flag", "orders", "o_orderkey", {"o_custkey": {"isNull": False, "lt": 20}}, "o_custkey < 20")
+_filter("F31_filter_tree", "orders", "o_orderkey", {"OR": [{"o_orderstatus": "P"}, {"AND": [{"o_totalprice": {"gt": 400000}}, {"NOT": {"o_orderpriority": {"like": "1%"}}}]}], "AND": []}, "o_orderstatus = 'P' OR (o_totalprice > 400000 AND NOT o_orderpriority LIKE '1%')")
+_filter("F32_filter_raw", "orders", "o_orderkey", {"RAW": lambda t, x: F.col("o_orderkey") % 11 == 0}, "o_orderkey % 11 = 0")
+_filter("F33_filter_relation", "customer", "c_custkey", {"orders": {"o_totalprice": {"gt": 450000}}}, "EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 450000)")
+_filter("F34_filter_relation_any", "orders", "o_orderkey", {"lines": True}, "EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+_filter("F34_filter_relation_none", "orders", "o_orderkey", {"lines": False}, "NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+_filter("F35_filter_through", "orders", "o_orderkey", {"parts": {"p_size": 50}}, "EXISTS (SELECT 1 FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey = o_orderkey AND p_size = 50)")
+_filter("F36_filter_nested", "region", "r_name", {"nations": {"customers": {"orders": {"o_totalprice": {"gt": 480000}}}}}, "EXISTS (SELECT 1 FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey WHERE n_regionkey = r_regionkey AND o_totalprice > 480000)")
+_filter("F36_filter_or_relation", "customer", "c_custkey", {"OR": [{"c_acctbal": {"lt": -900}}, {"orders": {"o_totalprice": {"gt": 490000}}}]}, "c_acctbal < -900 OR EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 490000)")
+_filter("F37_filter_declared_where", "customer", "c_custkey", {"open_orders": {"o_totalprice": {"gt": 300000}}}, "EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O' AND o_totalprice > 300000)")
+
+
+# --- joins
+
+
+def _join(name: str, how: str, sql: str) -> None:
+    @_query(name, f"SELECT o_orderkey, l_partkey FROM (SELECT * FROM orders WHERE o_orderkey < 3000) o {sql} JOIN (SELECT * FROM lineitem WHERE l_orderkey BETWEEN 1500 AND 4500) l ON o_orderkey = l_orderkey")
+    def _(s):
+        o, line = s.orders, s.lineitem
+        a, b = s.q(o).where(lt(o["o_orderkey"], 3000)).as_("o"), s.q(line).where(between(line["l_orderkey"], 1500, 4500)).as_("l")
+        return getattr(s.q(a), f"{how}_join")(b, eq(a["o_orderkey"], b["l_orderkey"])).select({"o_orderkey": a["o_orderkey"], "l_partkey": b["l_partkey"]}).df()
+
+
+_join("J1_inner_join", "inner", "INNER")
+_join("J2_left_join", "left", "LEFT")
+_join("J3_right_join", "right", "RIGHT")
+_join("J4_full_join", "full", "FULL")
+
+
+@_query("J5_cross_join", "SELECT r_name, n_name FROM region, nation")
+def _(s):
+    r, n = s.region, s.nation
+    return s.q(r).cross_join(n).select({"r_name": r["r_name"], "n_name": n["n_name"]}).df()
+
+
+@_query("J6_theta_join", "SELECT s.s_suppkey, n.n_nationkey FROM supplier s JOIN nation n ON s.s_nationkey > n.n_nationkey AND s.s_acctbal > 5000")
+def _(s):
+    a, n = s.supplier, s.nation
+    return s.q(a).inner_join(n, and_(gt(a["s_nationkey"], n["n_nationkey"]), gt(a["s_acctbal"], 5000))).select({"s_suppkey": a["s_suppkey"], "n_nationkey": n["n_nationkey"]}).df()
+
+
+@_query("J11_junction_join", "SELECT DISTINCT o_orderkey, p_brand FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE o_orderkey < 1000")
+def _(s):
+    o, line, p = s.orders, s.lineitem, s.part
+    return s.q(o).inner_join(line, eq(line["l_orderkey"], o["o_orderkey"])).inner_join(p, eq(p["p_partkey"], line["l_partkey"])).select({"o_orderkey": o["o_orderkey"], "p_brand": p["p_brand"]}).distinct().where(lt(o["o_orderkey"], 1000)).df()
+
+
+# --- aggregation, order, scalars
+
+
+@_query("A1_group_having", "SELECT l_returnflag AS flag, l_linestatus AS status, count(*) AS n, count(l_tax) AS n_tax, count(DISTINCT l_suppkey) AS n_supp, round(sum(l_extendedprice), 2) AS total, round(avg(l_discount), 6) AS disc, min(l_shipdate) AS first, max(l_quantity) AS most FROM lineitem GROUP BY 1, 2 HAVING count(*) > 100")
+def _(s):
+    t = s.lineitem
+    shape = {"flag": t["l_returnflag"], "status": t["l_linestatus"], "n": count(), "n_tax": count(t["l_tax"]), "n_supp": count_distinct(t["l_suppkey"]), "total": Expr(lambda e: F.round(sum_(t["l_extendedprice"]).column(e), 2)), "disc": Expr(lambda e: F.round(avg(t["l_discount"]).column(e), 6)), "first": min_(t["l_shipdate"]), "most": max_(t["l_quantity"])}
+    return s.q(t).select(shape).group_by(t["l_returnflag"], t["l_linestatus"]).having(gt(count(), 100)).df()
+
+
+@_query("A9_global_aggregate", "SELECT count(*) AS n, max(o_totalprice) AS most FROM orders WHERE o_orderkey < 0")
+def _(s):
+    o = s.orders
+    return s.q(o).select({"n": count(), "most": max_(o["o_totalprice"])}).where(lt(o["o_orderkey"], 0)).df()
+
+
+@_query("A3_count_distinct", "SELECT count(DISTINCT o_custkey) AS n FROM orders")
+def _(s):
+    o = s.orders
+    return s.q(o).select({"n": count_distinct(o["o_custkey"])}).df()
+
+
+@_query("A8_group_by_expression", "SELECT o_custkey % 10 AS g, count(*) AS n FROM orders GROUP BY o_custkey % 10")
+def _(s):
+    g = raw("o_custkey % 10")
+    return s.q(s.orders).select({"g": g, "n": count()}).group_by(g).df()
+
+
+@_query("A12_relational_count", "SELECT count(*) AS count FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
+def _(s):
+    return s.loader().count("customer", {"orders": {"o_totalprice": {"gt": 400000}}})
+
+
+@_query("A13_list_per_parent", "SELECT n_regionkey AS k, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
+def _(s):
+    n = s.nation
+    return s.q(n).select({"k": n["n_regionkey"], "names": Expr(lambda e: F.array_join(F.array_sort(F.collect_list("n_name")), ","))}).group_by(n["n_regionkey"]).df()
+
+
+@_query("O3_order_limit_offset", "SELECT o_orderkey AS id, o_totalprice AS p FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 10")
+def _(s):
+    o = s.orders
+    return s.q(o).select({"id": o["o_orderkey"], "p": o["o_totalprice"]}).order_by(desc(o["o_totalprice"]), asc(o["o_orderkey"])).limit(20).offset(10).df()
+
+
+@_query("O4_top_k", "SELECT c_custkey AS id FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 25")
+def _(s):
+    c = s.customer
+    return s.q(c).select({"id": c["c_custkey"]}).order_by(desc(c["c_acctbal"]), c["c_custkey"]).limit(ph("k")).df(k=25)
+
+
+@_query("E1_arithmetic", "SELECT p_partkey, p_size + 1 AS a, p_size - 1 AS b, p_size * 2 AS c, p_size // 7 AS d, CASE WHEN p_size - 10 = 0 THEN NULL ELSE 100 // (p_size - 10) END AS e FROM part")
+def _(s):
+    p = s.part
+    z = subtract(p["p_size"], 10)
+    return s.q(p).select({"p_partkey": p["p_partkey"], "a": add(p["p_size"], 1), "b": subtract(p["p_size"], 1), "c": multiply(p["p_size"], 2), "d": divide(p["p_size"], 7), "e": divide(100, z)}).df()
+
+
+@_query("E5_coalesce_lower_upper_length", "SELECT d.doc_id, coalesce(l.toxic, -1) AS toxic, lower(d.source) AS lo, upper(d.source) AS up, length(d.lang) AS n FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
+def _(s):
+    d, t = s.documents, s.labels
+    return s.q(d).left_join(t, eq(t["doc_id"], d["doc_id"])).select({"doc_id": d["doc_id"], "toxic": coalesce(t["toxic"], -1), "lo": lower(d["source"]), "up": upper(d["source"]), "n": length(d["lang"])}).df()
+
+
+# --- windows, relations
+
+
+_LATEST = "SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events WHERE event_type <> 'error') WHERE rn = 1"
+
+
+@_query("F1_latest_per_group", _LATEST)
+def _(s):
+    e = s.events
+    return latest_per_group(s.db, e, [e["user_id"]], [desc(e["ts"])], desc(e["event_id"]), ne(e["event_type"], "error")).select("event_id", "user_id", "event_type")
+
+
+QUERIES["W1_latest_per_group"], ORACLE_SQL["W1_latest_per_group"] = QUERIES["F1_latest_per_group"], _LATEST
+
+
+@_query("W2_page_per_parent", "SELECT c_custkey AS id, string_agg(o_orderkey::VARCHAR, ',' ORDER BY rn) AS page FROM customer LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) o ON o_custkey = c_custkey AND rn > 1 AND rn <= 4 GROUP BY c_custkey")
+def _(s):
+    rows = s.loader().find_many("customer", {"columns": {"c_custkey": True}, "with": {"orders": {"columns": {"o_orderkey": True}, "order_by": {"o_totalprice": "desc"}, "offset": 1, "limit": 3}}})
+    page = F.when(F.size("orders") > 0, F.array_join(F.transform("orders", lambda x: x["o_orderkey"].cast("string")), ","))
+    return rows.select(F.col("c_custkey").alias("id"), page.alias("page"))
+
+
+@_query("W3_window_fragment", "SELECT n_nationkey, rank() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS r FROM nation")
+def _(s):
+    n = s.nation
+    return s.q(n).select({"n_nationkey": n["n_nationkey"], "r": raw("rank() OVER (PARTITION BY n_regionkey ORDER BY n_name)")}).df()
+
+
+@_query("R9_load_one", "SELECT c_custkey AS id, n_name AS nation, r_name AS region FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
+def _(s):
+    rows = s.loader().find_many("customer", {"columns": {"c_custkey": True}, "with": {"nation": {"columns": {"n_name": True}, "with": {"region": True}}}})
+    return rows.select(F.col("c_custkey").alias("id"), F.col("nation.n_name").alias("nation"), F.col("nation.region.r_name").alias("region"))
+
+
+def _joined(field: str, key: str):
+    return F.array_join(F.transform(field, lambda x: x[key].cast("string")), ",")
+
+
+@_query("R10_load_many", "SELECT o_orderkey AS id, count(l_orderkey) AS n, coalesce(round(sum(l_quantity), 2), 0) AS q FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
+def _(s):
+    rows = s.loader().find_many("orders", {"columns": {"o_orderkey": True}, "with": {"lines": {"columns": {"l_quantity": True}}}})
+    return rows.select(F.col("o_orderkey").alias("id"), F.size("lines").cast("long").alias("n"), F.round(F.aggregate("lines", F.lit(0.0), lambda a, x: a + x["l_quantity"]), 2).alias("q"))
+
+
+@_query("R11_load_nested", "SELECT r_name AS region, n_name AS nation, (SELECT string_agg(c_custkey::VARCHAR, ',' ORDER BY c_custkey) FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal > 9000) AS rich FROM region JOIN nation ON n_regionkey = r_regionkey")
+def _(s):
+    rows = s.loader().find_many("region", {"with": {"nations": {"with": {"customers": {"columns": {"c_custkey": True}, "where": {"c_acctbal": {"gt": 9000}}}}}}})
+    each = rows.select(F.col("r_name").alias("region"), F.explode("nations").alias("n"))
+    return each.select("region", F.col("n.n_name").alias("nation"), F.when(F.size("n.customers") > 0, _joined("n.customers", "c_custkey")).alias("rich"))
+
+
+@_query("R3_load_through", "SELECT o_orderkey AS id, (SELECT string_agg(l_partkey::VARCHAR, ',' ORDER BY l_partkey) FROM lineitem WHERE l_orderkey = o_orderkey) AS parts FROM orders WHERE o_orderkey < 2000")
+def _(s):
+    rows = s.loader().find_many("orders", {"columns": {"o_orderkey": True}, "where": {"o_orderkey": {"lt": 2000}}, "with": {"parts": {"columns": {"p_partkey": True}}}})
+    return rows.select(F.col("o_orderkey").alias("id"), F.when(F.size("parts") > 0, _joined("parts", "p_partkey")).alias("parts"))
+
+
+@_query("R2_load_composite_key", "SELECT conv_id, turn, role AS twin FROM conversations")
+def _(s):
+    rows = s.loader().find_many("conversations", {"columns": {"conv_id": True, "turn": True}, "with": {"same": {"columns": {"role": True}}}})
+    return rows.select("conv_id", "turn", F.get("same", 0)["role"].alias("twin"))
+
+
+@_query("R6_find_many", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' ORDER BY o_totalprice DESC, o_orderkey LIMIT 30 OFFSET 5")
+def _(s):
+    return s.loader().find_many("orders", {"columns": {"o_orderkey": True, "o_totalprice": True}, "where": {"o_orderstatus": "F"}, "order_by": lambda t, x: [x.desc(t["o_totalprice"]), t["o_orderkey"]], "limit": 30, "offset": 5})
+
+
+@_query("R16_child_where", "SELECT c_custkey AS id, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000) AS n FROM customer")
+def _(s):
+    rows = s.loader().find_many("customer", {"columns": {"c_custkey": True}, "with": {"orders": {"columns": {"o_orderkey": True}, "where": {"o_totalprice": {"gt": 300000}}}}})
+    return rows.select(F.col("c_custkey").alias("id"), F.size("orders").cast("long").alias("n"))
+
+
+@_query("R17_declared_where", "SELECT c_custkey AS id, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O' AND o_totalprice < 100000) AS n FROM customer")
+def _(s):
+    rows = s.loader().find_many("customer", {"columns": {"c_custkey": True}, "with": {"open_orders": {"columns": {"o_orderkey": True}, "where": {"o_totalprice": {"lt": 100000}}}}})
+    return rows.select(F.col("c_custkey").alias("id"), F.size("open_orders").cast("long").alias("n"))
+
+
+# --- mutations: the table afterwards
+
+
+@_query("M1_insert", "SELECT * FROM region UNION ALL SELECT 100, 'NOWHERE' UNION ALL SELECT 101, NULL")
+def _(s):
+    old = s.db.frame("region")
+    return insert(s.region, old, new_rows(s.spark, s.region, old, [{"r_regionkey": 100, "r_name": "NOWHERE"}, {"r_regionkey": 101}])).rows
+
+
+@_query("M5_insert_do_nothing", "SELECT * FROM region UNION ALL SELECT 100, 'NEW'")
+def _(s):
+    old = s.db.frame("region")
+    return upsert(s.region, old, new_rows(s.spark, s.region, old, [{"r_regionkey": 1, "r_name": "X"}, {"r_regionkey": 100, "r_name": "NEW"}, {"r_regionkey": 100, "r_name": "LATE"}]), ["r_regionkey"]).rows
+
+
+@_query("M6_upsert", "SELECT r_regionkey, CASE WHEN r_regionkey IN (1, 2) THEN r_name || '+X' ELSE r_name END AS r_name FROM region UNION ALL SELECT 100, 'NEW'")
+def _(s):
+    old = s.db.frame("region")
+    new = new_rows(s.spark, s.region, old, [{"r_regionkey": 1, "r_name": "X"}, {"r_regionkey": 2, "r_name": "X"}, {"r_regionkey": 100, "r_name": "NEW"}])
+    return upsert(s.region, old, new, ["r_regionkey"], {"r_name": lambda a, b: F.concat(a, F.lit("+"), b)}).rows
+
+
+@_query("M8_update_where", "SELECT c_custkey, CASE WHEN c_nationkey = 5 THEN c_acctbal * 2 ELSE c_acctbal END AS c_acctbal FROM customer")
+def _(s):
+    c = s.customer
+    return update(c, s.db.frame("customer"), {"c_acctbal": multiply(c["c_acctbal"], 2)}, eq(c["c_nationkey"], 5)).rows.select("c_custkey", "c_acctbal")
+
+
+@_query("M7_update_returning", "SELECT c_custkey, 0.0::DOUBLE AS c_acctbal FROM customer WHERE c_nationkey = 5")
+def _(s):
+    c = s.customer
+    return update(c, s.db.frame("customer"), {"c_acctbal": 0.0}, eq(c["c_nationkey"], 5)).returning("c_custkey", "c_acctbal")
+
+
+@_query("M9_delete_where", "SELECT o_orderkey FROM orders WHERE NOT (o_orderstatus = 'F')")
+def _(s):
+    o = s.orders
+    return delete(o, s.db.frame("orders"), eq(o["o_orderstatus"], "F")).rows.select("o_orderkey")
+
+
+@_query("M14_consume_one", "SELECT min(c_custkey) AS c_custkey FROM customer WHERE c_nationkey = 7")
+def _(s):
+    c = s.customer
+    return consume_one(c, s.db.frame("customer"), eq(c["c_nationkey"], 7)).returning("c_custkey")
+
+
+@_query("M15_increment_one", "SELECT c_custkey, CASE WHEN c_custkey = (SELECT min(c_custkey) FROM customer WHERE c_nationkey = 7) THEN c_acctbal + 5 ELSE c_acctbal END AS c_acctbal FROM customer")
+def _(s):
+    c = s.customer
+    return increment_one(c, s.db.frame("customer"), "c_acctbal", 5, eq(c["c_nationkey"], 7)).rows.select("c_custkey", "c_acctbal")
+
+
+@_query("DD11_unique_violations", "SELECT l_orderkey, l_linenumber, count(*) AS rows FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+def _(s):
+    return check_unique(s.db.frame("lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@_query("DD11_reference_violations", "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def _(s):
+    return check_reference(s.db.frame("documents"), ["doc_id"], s.db.frame("labels"), ["doc_id"]).select("doc_id")
+
+
+_EDGES = [("nation", "region"), ("customer", "nation"), ("supplier", "nation"), ("orders", "customer"), ("lineitem", "orders"), ("lineitem", "part"), ("lineitem", "supplier"), ("nation", "nation")]
+
+
+@_query("K16_impact_closure", "WITH RECURSIVE e(child, parent) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _EDGES) + "), r(name) AS (SELECT child FROM e WHERE parent = 'nation' AND child <> 'nation' UNION SELECT e.child FROM r JOIN e ON e.parent = r.name AND e.child <> 'nation') SELECT name FROM r")
+def _(s):
+    return impact_closure(s.spark.createDataFrame(_EDGES, "child string, parent string"), "nation")
+
+
+@_query("K18_vocabulary", "SELECT 'status' AS name, 'lineitem' AS small, 'orders' AS large")
+def _(s):
+    line = s.db.frame("lineitem").select(F.lit("lineitem").alias("table_name"), F.lit("status").alias("column_name"), F.col("l_linestatus").alias("value"))
+    orders = s.db.frame("orders").select(F.lit("orders").alias("table_name"), F.lit("status").alias("column_name"), F.col("o_orderstatus").alias("value"))
+    return vocabulary_divergences(line.unionAll(orders))
+
+
+@_query("X1_union_cte", "WITH big AS (SELECT o_custkey AS k FROM orders WHERE o_totalprice > 400000) SELECT k FROM big UNION SELECT c_custkey FROM customer WHERE c_acctbal > 9500")
+def _(s):
+    return s.db.execute("WITH big AS (SELECT o_custkey AS k FROM orders WHERE o_totalprice > 400000) SELECT k FROM big UNION SELECT c_custkey FROM customer WHERE c_acctbal > 9500", None, ("orders", "customer"))

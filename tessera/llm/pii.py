@@ -139,8 +139,11 @@ def _bootstrap(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
 
     words = F.filter(F.split(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), r"\s+"), lambda w: w != "")
     runs = pick(docs, "text").select(words.alias("w")).filter(F.size("w") > CONTEXT)
-    runs = runs.select(F.explode(F.transform(F.slice("w", 1, F.size("w") - CONTEXT), lambda x, i: F.concat_ws(" ", x, *[F.get("w", i + j) for j in range(1, CONTEXT)]))).alias("pattern"))
-    places = stored(runs.join(small(patterns.select("pattern"), count), "pattern").groupBy("pattern").agg(F.count("*").alias("places")), "places")
+    runs = runs.select(F.explode(F.transform(F.slice("w", 1, F.size("w") - CONTEXT), lambda x, i: F.xxhash64(x, *[F.get("w", i + j) for j in range(1, CONTEXT)]))).alias("run"))
+    # counted before they meet the patterns, by a 64-bit hash of their words: common runs are as many rows as there are tasks
+    runs = runs.groupBy("run").agg(F.count("*").alias("places"))
+    hashed = patterns.select("pattern", F.split("pattern", " ").alias("w")).select("pattern", F.xxhash64(*[F.get("w", F.lit(j)) for j in range(CONTEXT)]).alias("run"))
+    places = stored(runs.join(small(hashed, count), "run").select("pattern", "places"), "places")
 
     other = held.select(F.explode("others").alias("s")).select("s.pattern", "s.value").filter("pattern is not null")
     edges = seed.select("pattern", "value", F.lit(True).alias("seed")).unionAll(other.select("pattern", "value", F.lit(False).alias("seed"))).join(small(patterns.select("pattern"), count), "pattern")

@@ -61,7 +61,7 @@ def texts_of(column) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batches, cut into runs of rows whose texts come to about `limit` bytes: bounds the memory of Python objects."""
     for b in batches:
         lens = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False)

@@ -18,7 +18,7 @@ from .common import pick, pieces, stored, texts_of
 WINDOW, GRAM = 10, 5
 #: Bytes of benchmark text that one pass over the documents holds in memory; larger benchmarks take more passes.
 PASS_BYTES = 32 << 20
-_WORDS_KEPT = 200_000
+_WORDS_KEPT = 150_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 0x30 or 0x3A <= c <= 0x60 or 0x7B <= c <= 0x7F else c for c in range(256))

@@ -18,7 +18,7 @@ from .components import components
 ROWS_PER_BAND, MISS = 4, 1e-6
 #: Documents of one side of a block comparison within a bucket.
 BLOCK = 256
-_WORDS_KEPT = 200_000
+_WORDS_KEPT = 150_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 

@@ -17,7 +17,7 @@ from .common import pick, pieces
 CAPACITY, OPEN_BINS = 2048, 256
 #: Documents that one packing task takes; tasks grow in number with the table, and each leaves OPEN_BINS bins at most partly empty.
 DOCS_PER_TASK = 100_000
-_WORDS_KEPT = 300_000
+_WORDS_KEPT = 150_000
 
 # Alphabet in which the byte-level pre-tokenizer's classes are fixed in every Unicode version; other texts go to the tokenizer whole.
 _LETTERS, _DIGITS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe"

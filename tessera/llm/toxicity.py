@@ -19,7 +19,7 @@ SAMPLE_ROWS = 20_000
 #: A lexicon term is in this many toxic sample texts at least, and in this share; and exp(LOG_ODDS) times as often in toxic as in other texts.
 MIN_TEXTS, MIN_SHARE, LOG_ODDS = 3, 0.004, 3.0
 TREES, DEPTH, RATE, BINS = 60, 3, 0.2, 64
-_WORDS_KEPT = 200_000
+_WORDS_KEPT = 150_000
 
 #: Second-person pronouns of the corpus's languages.
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch euer sie tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros vuestro".split())

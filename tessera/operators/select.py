@@ -43,7 +43,10 @@ class Sub:
 
 
 def _whole(n: Any, env: Mapping[str, Any], what: str) -> int:
-    n = env[n.name] if isinstance(n, Placeholder) else n
+    if isinstance(n, Placeholder):
+        if n.name not in env:
+            raise CompileError(f"no value for placeholder {n.name}")
+        n = env[n.name]
     if isinstance(n, bool) or not isinstance(n, (int, float)) or not math.isfinite(n):
         raise CompileError(f"{what} must be a finite number")
     return math.trunc(n)

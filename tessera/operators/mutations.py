@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
@@ -214,7 +215,7 @@ class TableStore:
         results = []
         for i, step in enumerate(steps):
             table, change = step(lambda name: self.spark.read.parquet(now[name]))
-            path = f"{self.root}/{table}/v{n}-{i}"
+            path = f"{self.root}/{table}/v{n}-{i}-{uuid.uuid4().hex}"  # a batch that failed may have left files of the same version
             change.rows.write.parquet(f"{path}/rows")
             change.affected.write.parquet(f"{path}/affected")
             now[table] = f"{path}/rows"

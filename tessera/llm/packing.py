@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import re
-import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,20 +18,52 @@ from .common import pick, pieces
 CAPACITY, OPEN_BINS = 2048, 256
 #: Documents that one packing task takes; tasks grow in number with the table, and each leaves OPEN_BINS bins at most partly empty.
 DOCS_PER_TASK = 100_000
-_WORDS_KEPT = 150_000
+#: Texts with a longer run of spaces, or of other characters, go to the tokenizer's own library, whose merging stays near-linear.
+_LONGEST_RUN = 300
 
-# Alphabet in which the byte-level pre-tokenizer's classes are fixed in every Unicode version; other texts go to the tokenizer whole.
-_LETTERS, _DIGITS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe"
+# Alphabet in which the byte-level pre-tokenizer's classes are fixed in every Unicode version; other texts go to the tokenizer's own library.
 _OTHER = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-ɏ]")
-_PLAIN = re.compile(f" [{_LETTERS}]+")
-_SPLIT = re.compile(f" ?[{_LETTERS}]+| ?[{_DIGITS}]+|'(?:s|t|re|ve|m|ll|d)| ?[^\\s{_LETTERS}{_DIGITS}]+|\\s+(?!\\S)|\\s+")
+_SPACES = re.compile(f"\\s{{{_LONGEST_RUN}}}")
+# The byte-level pre-tokenizer's fixed pattern.
+_SPLIT = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-class Encoder(dict):
-    """Token ids as little-endian 32-bit words, by the tokenizer file at `path`; pre-tokens' ids are remembered.
+def _byte_of() -> dict[str, int]:
+    """Byte-level alphabet: printable bytes stand for themselves, the others follow from U+0100 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(printable)]
+    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
 
-    Byte-pair merges never cross pre-tokens, so a text's ids are its pre-tokens' ids in order. Pre-tokens not yet known
-    are encoded together: a run of words that each begin with a space splits into just these words.
+
+def _ranked(path: str):
+    """The file's vocabulary as a rank-ordered byte-pair encoding, or None if its ids don't follow from ranks alone."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, pre = spec["model"], spec["pre_tokenizer"] or {}
+    plain = not spec["normalizer"] and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre["add_prefix_space"]
+    if not plain or model.get("type", "BPE") != "BPE" or any(model.get(x) for x in ("dropout", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix")):
+        return None
+    vocab, byte_of = model["vocab"], _byte_of()
+    made = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    order = [vocab[m] for m in made]
+    base = {c: vocab.get(c, -1) for c in byte_of}
+    if min(base.values()) < 0 or any(x >= y for x, y in zip(order, order[1:], strict=False)) or order and max(base.values()) >= order[0]:
+        return None
+    ranks = {bytes(byte_of[c] for c in word): vocab[word] for word in [*base, *made]}
+    return tiktoken.Encoding("from-file", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+
+def _long_run(text: str) -> bool:
+    return len(text) >= _LONGEST_RUN and (max(map(len, text.split()), default=0) >= _LONGEST_RUN or bool(_SPACES.search(text)))
+
+
+class Encoder:
+    """Token ids as little-endian 32-bit words, by the tokenizer file at `path`.
+
+    Ids of a byte-level vocabulary whose ids are ordered as its merges follow from that order, so such texts are encoded
+    by rank; texts outside the alphabet above, or with very long runs, and all other files by the tokenizer's library.
     """
 
     def __init__(self, path: str):
@@ -38,29 +71,21 @@ class Encoder(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.ranked = _ranked(path)
 
     def whole(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def learn(self, words: set[str]) -> None:
-        if len(self) > _WORDS_KEPT:
-            self.clear()
-        words = [w for w in words if w not in self]
-        plain = [w for w in words if _PLAIN.fullmatch(w)]
-        for lo in range(0, len(plain), 1000):
-            group = plain[lo : lo + 1000]
-            e = self.tokenizer.encode("".join(group), add_special_tokens=False)
-            data = np.array(e.ids, "<u4").tobytes()
-            cuts = (4 * np.searchsorted(np.array(e.word_ids), np.arange(len(group) + 1))).tolist()
-            self.update((w, data[i:j]) for w, i, j in zip(group, cuts, cuts[1:], strict=False))
-        self.update((w, self.whole(w)) for w in words if w not in self)
-
-    def ids(self, texts: list[str]) -> Iterator[bytes]:
-        split = [None if _OTHER.search(t) else _SPLIT.findall(t) for t in texts]
-        self.learn(set().union(*(w for w in split if w)))
-        for t, words in zip(texts, split, strict=True):
-            yield self.whole(t) if words is None else b"".join(map(self.__getitem__, words))
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def ids(self, text: str) -> bytes:
+        if self.ranked is None or _OTHER.search(text) or _long_run(text):
+            return self.whole(text)
+        return self.ranked.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One encoder per Python worker, which serves many tasks."""
+    return Encoder(path)
 
 
 def cut(length: int, capacity: int) -> list[tuple[int, int]]:
@@ -104,11 +129,11 @@ class Packer:
 
 def _tokenise(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path)
+        encode = encoder(path)
         for b in pieces(batches):
             at, number, starts, lens, crcs = [], [], [], [], []
-            for i, ids in enumerate(encode.ids([t or "" for t in b.column("text").to_pylist()])):
-                ids += bytes(4)
+            for i, text in enumerate(b.column("text").to_pylist()):
+                ids = encode.ids(text or "") + bytes(4)
                 for n, (s, x) in enumerate(cut(len(ids) // 4, capacity)):
                     at.append(i)
                     number.append(n)

@@ -6,7 +6,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,8 @@ _LONGEST_RUN = 300
 # Alphabet in which the byte-level pre-tokenizer's classes are fixed in every Unicode version; other texts go to the tokenizer's own library.
 _OTHER = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-ɏ]")
 _SPACES = re.compile(f"\\s{{{_LONGEST_RUN}}}")
+# A special token that isn't in the alphabet: with none at all, the library would look for the empty one at every character.
+_NEVER = "\0\1"
 # The byte-level pre-tokenizer's fixed pattern.
 _SPLIT = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -52,11 +54,16 @@ def _ranked(path: str):
     if min(base.values()) < 0 or any(x >= y for x, y in zip(order, order[1:], strict=False)) or order and max(base.values()) >= order[0]:
         return None
     ranks = {bytes(byte_of[c] for c in word): vocab[word] for word in [*base, *made]}
-    return tiktoken.Encoding("from-file", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("from-file", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={_NEVER: max(ranks.values()) + 1})
 
 
 def _long_run(text: str) -> bool:
-    return len(text) >= _LONGEST_RUN and (max(map(len, text.split()), default=0) >= _LONGEST_RUN or bool(_SPACES.search(text)))
+    """Whether a run reaches _LONGEST_RUN. Such a run fills one of the blocks of half its length, so others are ruled out by these."""
+    half = _LONGEST_RUN // 2
+    blocks = range(0, len(text) - half + 1, half)
+    if any(text.find(" ", p, p + half) < 0 for p in blocks) and max(map(len, text.split()), default=0) >= _LONGEST_RUN:
+        return True
+    return any(text[p : p + half].isspace() for p in blocks) and bool(_SPACES.search(text))
 
 
 class Encoder:
@@ -67,11 +74,15 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        self.path, self.ranked = path, _ranked(path)
+
+    @cached_property
+    def tokenizer(self):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.ranked = _ranked(path)
+        out = Tokenizer.from_file(self.path)
+        out.encode_special_tokens = True
+        return out
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()

@@ -311,6 +311,31 @@ def test_packing(spark, docs):
     assert packing.pack(docs, Q.tokenizer_path()).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count() and packing.pack(empty(docs), Q.tokenizer_path()).count() == 0
 
 
+def test_encoder_equals_the_tokenizer():
+    """Random texts of the plain alphabet, other characters, special tokens and long runs: ids by rank are the library's."""
+    e, r = packing.Encoder(Q.tokenizer_path()), random.Random(5)
+    assert e.ranked is not None
+    plain = "ab cd'stm  \n\n\t\r1234.,;!?<|endoftext|>ßéüñøžĀɏ\xbd\xb2\xaa\xa7_-ABC  "
+    texts = ["".join(r.choice(plain) for _ in range(r.randrange(60))) + r.choice(["", "", "<|endoftext|>", "😀", "中文", "\u3000", "\x85", "\0\1"]) for _ in range(3000)]
+    n = packing._LONGEST_RUN
+    runs = [c * m for c in ("a", " ", "\n", "!?", "\t ") for m in (n - 1, n, n + 1, 10 * n)]
+    for t in texts + runs + [f"x {x} y" for x in runs]:
+        assert e.ids(t) == e.whole(t), t[:80]
+    for before, c, after in (("ab ", "q", " z"), ("ab", " ", "z")):
+        assert packing._long_run(before + c * n + after) and not packing._long_run(before + c * (n - 1) + after)
+
+
+def test_encoder_leaves_other_files_to_the_library(tmp_path):
+    import json
+
+    with open(Q.tokenizer_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["model"]["merges"][5:7] = spec["model"]["merges"][6:4:-1]  # ids no longer ordered as the merges
+    (tmp_path / "t.json").write_text(json.dumps(spec), encoding="utf-8")
+    e = packing.Encoder(str(tmp_path / "t.json"))
+    assert e.ranked is None and e.ids("the other one") == e.whole("the other one")
+
+
 def test_packer_closes_the_fullest():
     p = packing.Packer(10, 2)
     assert [p.place(x) for x in (6, 7)] == [(0, 0), (1, 0)] and p.place(3) == (1, 7)  # the fullest that it fits

@@ -70,33 +70,38 @@ class Encoder:
     """Token ids as little-endian 32-bit words, by the tokenizer file at `path`.
 
     Ids of a byte-level vocabulary whose ids are ordered as its merges follow from that order, so such texts are encoded
-    by rank; texts outside the alphabet above, or with very long runs, and all other files by the tokenizer's library.
+    by rank; texts outside the alphabet above, with very long runs or with an added token's content, and all other files
+    by the tokenizer's library. special_tokens: whether the file's special tokens are found in texts, as the library does
+    unless told otherwise, or read as plain text.
     """
 
-    def __init__(self, path: str):
-        self.path, self.ranked = path, _ranked(path)
+    def __init__(self, path: str, special_tokens: bool = False):
+        self.path, self.special, self.ranked = path, special_tokens, _ranked(path)
+        with open(path, encoding="utf-8") as f:
+            added = json.load(f).get("added_tokens") or []
+        self.added = [t["content"] for t in added if special_tokens or not t["special"]]
 
     @cached_property
     def tokenizer(self):
         from tokenizers import Tokenizer
 
         out = Tokenizer.from_file(self.path)
-        out.encode_special_tokens = True
+        out.encode_special_tokens = not self.special
         return out
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
-        if self.ranked is None or _OTHER.search(text) or _long_run(text):
+        if self.ranked is None or any(t in text for t in self.added) or _OTHER.search(text) or _long_run(text):
             return self.whole(text)
         return self.ranked.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, special_tokens: bool) -> Encoder:
     """One encoder per Python worker, which serves many tasks."""
-    return Encoder(path)
+    return Encoder(path, special_tokens)
 
 
 def cut(length: int, capacity: int) -> list[tuple[int, int]]:
@@ -138,9 +143,9 @@ class Packer:
         return number
 
 
-def _tokenise(path: str, capacity: int):
+def _tokenise(path: str, capacity: int, special_tokens: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = encoder(path, special_tokens)
         for b in pieces(batches):
             at, number, starts, lens, crcs = [], [], [], [], []
             for i, text in enumerate(b.column("text").to_pylist()):
@@ -171,18 +176,19 @@ def _pack(capacity: int, open_bins: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, docs_per_task: int = DOCS_PER_TASK) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, docs_per_task: int = DOCS_PER_TASK, special_tokens: bool = False) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32, sequence_id, offset): every piece of every document in a sequence.
 
     docs: doc_id, text (further columns are ignored). A document is its tokens and a closing id 0; null texts count as
     empty, so they are one token. Only documents over `capacity` tokens are cut. Rows repeating a doc_id are packed one
     by one, null ids too. An empty table gives no rows. Whole texts are tokenised where they are read; only the pieces'
     numbers are dealt out, by hash, to a number of packing tasks in proportion to the documents.
-    tokenizer: path of the tokenizer file, readable on every executor.
+    tokenizer: path of the tokenizer file, readable on every executor. special_tokens: whether its special tokens are
+    found in texts (the library's default, which the queries use) or read as plain text.
     """
     base = pick(docs, "doc_id", "text").select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()
     cols = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
     tasks = max(1, -(-base.count() // docs_per_task))
-    rows = base.mapInArrow(_tokenise(tokenizer, capacity), cols)
+    rows = base.mapInArrow(_tokenise(tokenizer, capacity, special_tokens), cols)
     return rows.repartition(tasks, "doc_id", "piece").mapInArrow(_pack(capacity, open_bins), f"{cols}, sequence_id long, offset long")

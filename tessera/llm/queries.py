@@ -109,7 +109,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path(), special_tokens=True)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -336,6 +336,25 @@ def test_encoder_leaves_other_files_to_the_library(tmp_path):
     assert e.ranked is None and e.ids("the other one") == e.whole("the other one")
 
 
+def test_packing_finds_special_tokens(spark, tmp_path):
+    """The query's and the pipeline's ids are those of the library as it comes."""
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as P
+
+    t = Tokenizer.from_file(Q.tokenizer_path())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "日本語 <|endoftext|>", "<|endoftext|", "plain", None]
+    assert t.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for rows in (Q.op9_packing(spark, str(tmp_path)), P.packing(spark, Q.table(spark, str(tmp_path), "documents"), str(tmp_path))):
+        got = {r.doc_id: (r.length, r.ids_crc32) for r in rows.collect()}
+        for i, text in enumerate(texts):
+            ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
+            assert got[i] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), text
+
+
 def test_packer_closes_the_fullest():
     p = packing.Packer(10, 2)
     assert [p.place(x) for x in (6, 7)] == [(0, 0), (1, 0)] and p.place(3) == (1, 7)  # the fullest that it fits

@@ -126,6 +126,13 @@ def _(s):
     return rows.select(F.col("orders.o_orderkey").alias("id"), F.col("lineitem.l_partkey").alias("part"), F.col("lineitem").isNull().alias("missed"))
 
 
+@_query("P2_implicit_join_groups_whole", "SELECT o.o_orderkey AS id, l.l_partkey AS part, l.l_orderkey IS NULL AS missed FROM orders o LEFT JOIN lineitem l ON o.o_orderkey = l.l_orderkey")
+def _(s):
+    o, line = s.orders, s.lineitem
+    rows = s.q(o).left_join(line, eq(o["o_orderkey"], line["l_orderkey"])).df()
+    return rows.select(F.col("orders.o_orderkey").alias("id"), F.col("lineitem.l_partkey").alias("part"), F.col("lineitem").isNull().alias("missed"))
+
+
 @_query("P4_nested_projection", "SELECT c_custkey AS id, c_name AS name, c_mktsegment AS seg FROM customer")
 def _(s):
     c = s.customer
@@ -255,6 +262,19 @@ _join("J3_right_join", "right", "RIGHT")
 _join("J4_full_join", "full", "FULL")
 
 
+def _whole_join(name: str, how: str, sql: str) -> None:
+    @_query(name, f"SELECT o_orderkey, l_partkey FROM orders {sql} JOIN lineitem ON o_orderkey = l_orderkey")
+    def _(s):
+        o, line = s.orders, s.lineitem
+        return getattr(s.q(o), f"{how}_join")(line, eq(o["o_orderkey"], line["l_orderkey"])).select({"o_orderkey": o["o_orderkey"], "l_partkey": line["l_partkey"]}).df()
+
+
+_whole_join("J1_inner_join_whole", "inner", "INNER")
+_whole_join("J2_left_join_whole", "left", "LEFT")
+_whole_join("J3_right_join_whole", "right", "RIGHT")
+_whole_join("J4_full_join_whole", "full", "FULL")
+
+
 @_query("J5_cross_join", "SELECT r_name, n_name FROM region, nation")
 def _(s):
     r, n = s.region, s.nation
@@ -273,6 +293,12 @@ def _(s):
     return s.q(o).inner_join(line, eq(line["l_orderkey"], o["o_orderkey"])).inner_join(p, eq(p["p_partkey"], line["l_partkey"])).select({"o_orderkey": o["o_orderkey"], "p_brand": p["p_brand"]}).distinct().where(lt(o["o_orderkey"], 1000)).df()
 
 
+@_query("J11_junction_join_whole", "SELECT DISTINCT o_orderkey, p_brand FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey")
+def _(s):
+    o, line, p = s.orders, s.lineitem, s.part
+    return s.q(o).inner_join(line, eq(line["l_orderkey"], o["o_orderkey"])).inner_join(p, eq(p["p_partkey"], line["l_partkey"])).select({"o_orderkey": o["o_orderkey"], "p_brand": p["p_brand"]}).distinct().df()
+
+
 # --- aggregation, order, scalars
 
 
@@ -394,6 +420,12 @@ def _(s):
     return rows.select(F.col("o_orderkey").alias("id"), F.when(F.size("parts") > 0, _joined("parts", "p_partkey")).alias("parts"))
 
 
+@_query("R3_load_through_whole", "SELECT o_orderkey AS id, (SELECT string_agg(l_partkey::VARCHAR, ',' ORDER BY l_partkey) FROM lineitem WHERE l_orderkey = o_orderkey) AS parts FROM orders")
+def _(s):
+    rows = s.loader().find_many("orders", {"columns": {"o_orderkey": True}, "with": {"parts": {"columns": {"p_partkey": True}}}})
+    return rows.select(F.col("o_orderkey").alias("id"), F.when(F.size("parts") > 0, _joined("parts", "p_partkey")).alias("parts"))
+
+
 @_query("R2_load_composite_key", "SELECT conv_id, turn, role AS twin FROM conversations")
 def _(s):
     rows = s.loader().find_many("conversations", {"columns": {"conv_id": True, "turn": True}, "with": {"same": {"columns": {"role": True}}}})

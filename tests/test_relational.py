@@ -41,6 +41,18 @@ def test_query_equals_sql(spark, duck, name):
     assert rows(df.columns, df.collect()) == rows(want.columns, want.fetchall())
 
 
+def test_whole_joins(spark):
+    """On a table with more orders than the sliced queries' bounds, the joins see every order and line."""
+    big = "/root/testdata/sf0.1"
+    orders, lines = spark.read.parquet(f"{big}/orders.parquet"), spark.read.parquet(f"{big}/lineitem.parquet")
+    n, bare = lines.count(), orders.join(lines, orders.o_orderkey == lines.l_orderkey, "left_anti").count()
+    assert bare > 0
+    count = lambda name: catalog.QUERIES[name](spark, big).count()
+    got = [count(f"{x}_whole") for x in ("J1_inner_join", "J2_left_join", "J3_right_join", "J4_full_join", "P2_implicit_join_groups", "R3_load_through")]
+    assert got == [n, n + bare, n, n + bare, n + bare, orders.count()]
+    assert catalog.QUERIES["J11_junction_join_whole"](spark, big).select("o_orderkey").distinct().count() == orders.count() - bare
+
+
 @pytest.fixture(scope="module")
 def blog(spark):
     users = spark.createDataFrame([(1, "Ada", True), (2, "Bob", False), (3, None, True)], "id long, name string, active boolean")

@@ -128,7 +128,7 @@ def leaves(page: str) -> list[Leaf]:
 
 _NAMES = (
     *(f"in:{t}" for t in TAGS), *(f"parent:{t}" for t in TAGS), *(f"hint:{h}" for h in HINTS), *(f"mark:{m}" for m in _MARKS),
-    *(f"words>={n}" for n in (2, 4, 8, 16, 32, 64)), *(f"linked>={x}" for x in (0.1, 0.5, 0.9)), "ends", "commas", "upper", "digits", "first", "last", "in-unknown", "bias",
+    *(f"words>={n}" for n in (2, 4, 8, 16, 32, 64)), *(f"linked>={x}" for x in (0.1, 0.5, 0.9)), "ends", "commas", "upper", "digits", "first", "last", "in-unknown", "marked-in-unknown", "marks>=2", "marks>=3", "bias",
 )
 _TAG_AT, _PARENT_AT = {t: i for i, t in enumerate(TAGS)}, {t: i + len(TAGS) for i, t in enumerate(TAGS)}
 _HINT_AT = {h: 2 * len(TAGS) + i for i, h in enumerate(HINTS)}
@@ -150,11 +150,11 @@ def features(blocks: list[Leaf]) -> np.ndarray:
     for i, b in enumerate(blocks):
         x[i, list(_place(b.tags, b.hints))] = 1
         text = b.text
-        if len(text) < 400:
-            low = text.lower()
-            for j, m in enumerate(_MARKS):
-                if m in low:
-                    x[i, _MARK_AT + j] = 1
+        low, marks = b.text.lower(), 0
+        for j, m in enumerate(_MARKS):
+            if m in low:
+                x[i, _MARK_AT + j] = 1
+                marks += 1
         words = text.count(" ") + 1
         at = _REST
         for limit in (2, 4, 8, 16, 32, 64):
@@ -163,10 +163,12 @@ def features(blocks: list[Leaf]) -> np.ndarray:
         for limit in (0.1, 0.5, 0.9):
             x[i, at] = b.linked >= limit
             at += 1
-        x[i, at : at + 4] = text[-1] in ".!?\"'”»…", text.count(",") / words, text.isupper(), sum(c.isdigit() for c in text[:200]) > 0.2 * min(200, len(text))
+        x[i, at : at + 4] = text[-1] in ".!?\"'”»…", text.count(",") / words, text.isupper(), sum(map(str.isdigit, text)) > 0.2 * len(text)
         x[i, at + 4] = i == 0
         x[i, at + 5] = i == len(blocks) - 1
         x[i, at + 6] = not any(t in ("article", "main", "nav", "header", "footer", "aside", "form") for t in b.tags) and not b.hints
+        x[i, at + 7] = marks > 0 and x[i, at + 6]
+        x[i, at + 8 : at + 10] = marks > 1, marks > 2
     x[:, -1] = 1
     return x
 
@@ -237,6 +239,8 @@ def labelled_page(rng: random.Random) -> tuple[str, list[int]]:
     inline = lambda t: rng.choice(["{}", "{}", "{}", "<b>{}</b>", "<em>{}</em> " + some(1, 3), "<span>{}</span>", "{} <a href=/x>" + some(1, 3) + "</a> " + some(2, 6)]).format(t)
     sentence = lambda: some(4, 18).capitalize() + rng.choice(".....!?")
     prose = lambda: " ".join(sentence() for _ in range(rng.choice([1, 1, 2, 3, 5, 8])))
+    says = lambda: rng.choice(["We use cookies", "Copyright " + word(), "All rights reserved", "Subscribe to our newsletter", "Sign up", "Advertisement", "Read our privacy notice", "Your privacy"]) + rng.choice([". ", " " + sentence() + " "])
+    passing = lambda: prose() + " " + some(2, 6).capitalize() + rng.choice([" cookie ", " reply ", " share ", " comment ", " privacy ", " subscribe ", " http://x.org/ ", " a@b.org ", " copyright "]) + some(2, 6) + ". " + prose()
     out: list[str] = []
     labels: list[int] = []
 
@@ -286,6 +290,15 @@ def labelled_page(rng: random.Random) -> tuple[str, list[int]]:
                 put("p", text, 0)
                 if rng.random() < 0.3:
                     put("p", some(1, 4), 0)
+        elif kind == "plain":  # a notice, of any length, in a container without a telling tag, class or id
+            tag = rng.choice(["div", "div", "section"])
+            out.append(f"<{tag}>")
+            text = "".join(says() + rng.choice(["", prose() + " "]) for _ in range(rng.choice([1, 1, 2, 3]))) + rng.choice(["", prose(), " ".join(prose() for _ in range(4))])
+            if rng.random() < 0.4:
+                out.append(text)
+                labels.append(0)
+            else:
+                put("p", text, 0)
         elif kind == "form":
             tag = "form"
             out.append(f"<form{rng.choice(['', named('search', 'login', 'contact')])}>")
@@ -332,7 +345,7 @@ def labelled_page(rng: random.Random) -> tuple[str, list[int]]:
         for _ in range(rng.choice([1, 2, 3, 5, 8, 12])):
             kind = rng.random()
             if kind < 0.72:
-                put("p", inline(prose()), 1, shut=rng.random() < 0.9)
+                put("p", inline(passing() if rng.random() < 0.1 else prose()), 1, shut=rng.random() < 0.9)
             elif kind < 0.8:
                 put(rng.choice(["h2", "h3"]), some(1, 6), 1)
             elif kind < 0.86:
@@ -366,11 +379,11 @@ def labelled_page(rng: random.Random) -> tuple[str, list[int]]:
     wrap = rng.random() < 0.3
     if wrap:
         out.append(rng.choice(["<div>", '<div id="page">', '<div class="wrapper">']))
-    for kind, share in (("notice", 0.25), ("header", 0.45), ("nav", 0.8), ("notice", 0.1), ("ad", 0.45), ("aside", 0.15), ("form", 0.1)):
+    for kind, share in (("notice", 0.25), ("header", 0.45), ("nav", 0.8), ("notice", 0.1), ("plain", 0.2), ("ad", 0.45), ("aside", 0.15), ("form", 0.1)):
         if rng.random() < share:
             boilerplate(kind)
     article()
-    for kind, share in (("comments", 0.45), ("aside", 0.35), ("ad", 0.25), ("form", 0.25), ("nav", 0.1), ("notice", 0.15), ("footer", 0.85)):
+    for kind, share in (("comments", 0.45), ("aside", 0.35), ("ad", 0.25), ("form", 0.25), ("nav", 0.1), ("notice", 0.15), ("plain", 0.25), ("footer", 0.85)):
         if rng.random() < share:
             boilerplate(kind)
     if wrap:

@@ -102,6 +102,27 @@ def test_html(spark):
         assert html_text.main_text(r.html, field) == "\n".join(x for x in want if x)
 
 
+def test_html_reads_whole_blocks():
+    """A mark counts wherever it stands in a block of whatever length, and long notices in plain containers aren't main text."""
+    digits, mark = html_text._NAMES.index("digits"), html_text._NAMES.index("mark:cookie")
+    row = lambda text: html_text.features(html_text.leaves(f"<div><p>{text}</p></div>"))[0]
+    for n in (50, 399, 400, 5000):
+        assert row("a " * (n // 2) + "cookie")[mark] == 1 and row("b" * n)[mark] == 0
+        assert row("word " * 60 + "1234567 " * n)[digits] == 1 and row("1234567 " * 30 + "word " * 20 * n)[digits] == 0
+    field, rng = html_text.trained(), random.Random(3)
+    sentence = lambda: " ".join("".join(rng.choice("aeioubdklmnrst") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(6, 14))).capitalize() + "."
+    prose = lambda n: " ".join(sentence() for _ in range(n))
+    wrong = 0
+    for i in range(120):
+        first = ("We use cookies to keep this site working. ", "Copyright the publisher. All rights reserved. ", "Subscribe to our newsletter for more. ", "Read our privacy notice before you go on. ")[i % 4]
+        notice = "<div><p>" + (first + prose(12))[: (399, 400, 900)[i % 3]] + "</p></div>"
+        article = ("<article>", "<div>")[i % 2] + f"<h1>{sentence()}</h1>" + "".join(f"<p>{prose(rng.randint(2, 8))} {x} {prose(3)}</p>" for x in ("", "They share a view of the cookie.", "")) + ("</article>", "</div>")[i % 2]
+        before = i % 5 < 2
+        keep = field.decode(html_text.features(html_text.leaves(f"<body>{notice + article if before else article + notice}</body>"))).tolist()
+        wrong += keep != ([0, 1, 1, 1, 1] if before else [1, 1, 1, 1, 0])
+    assert wrong <= 6
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 

@@ -24,6 +24,9 @@ CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 #: A pattern is the CONTEXT words before an entity. It needs this many different seeds, and this confidence to add spans.
 CONTEXT, MIN_SEEDS, MIN_CONFIDENCE, ROUNDS = 2, 3, 0.6, 3
 
+#: Code points before a place in which its context is looked for, before the whole text is.
+_WIDTHS = (80, 1000, 20_000)
+
 _SPANS = "array<struct<start:bigint,end:bigint,value:string>>"
 
 
@@ -70,9 +73,22 @@ def _tagged(kind: str, spans: Column) -> Column:
 
 
 def _context(text: Column, start: Column) -> Column:
-    """The CONTEXT whitespace-separated words before a place, lower-cased, or null if there are fewer."""
-    words = F.filter(F.split(F.lower(F.substring(text, F.greatest(start - 80, F.lit(0)).cast("int") + 1, F.least(start, F.lit(80)).cast("int"))), r"\s+"), lambda w: w != "")
-    return F.when(F.size(words) >= CONTEXT, F.array_join(F.slice(words, -CONTEXT, CONTEXT), " "))
+    """The CONTEXT whitespace-separated words before a place, lower-cased, or null if there are fewer.
+
+    Read from the nearest code points; from ever more, up to the whole text, while the first word may be cut or missing.
+    """
+
+    def last(width) -> tuple[Column, Column]:
+        near = F.substring(text, F.greatest(start - width, F.lit(0)).cast("int") + 1, F.least(start, width).cast("int"))
+        words = F.filter(F.split(F.lower(near), r"\s+"), lambda w: w != "")
+        return F.size(words), F.array_join(F.slice(words, -CONTEXT, CONTEXT), " ")
+
+    size, found = last(start)
+    out = F.when(size >= CONTEXT, found)
+    for width in reversed(_WIDTHS):
+        size, found = last(F.lit(width))
+        out = F.when(start <= width, F.when(size >= CONTEXT, found)).when(size > CONTEXT, found).otherwise(out)
+    return out
 
 
 def base_spans(docs: DataFrame, *keep: str) -> DataFrame:
@@ -132,8 +148,9 @@ def _bootstrap(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     held = stored(near.select(*_key(), "doc_id", "base", others.alias("others"), seeds.alias("seeds")), "spans")
 
     seed = held.select(F.explode("seeds").alias("s")).select("s.*").filter("pattern is not null")
-    kinds = seed.groupBy("pattern", "kind").agg(F.approx_count_distinct("value").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
-    strong = kinds.filter("least <> most").groupBy("pattern").agg(F.sum("n").alias("n"), F.max_by("kind", F.struct("n", -F.col("kind"))).alias("kind")).filter(F.col("n") >= MIN_SEEDS)
+    often = stored(seed.groupBy("pattern").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_SEEDS).select("pattern"), "patterns")
+    kinds = seed.join(small(often, often.count()), "pattern").distinct().groupBy("pattern", "kind").agg(F.count("*").alias("n"))
+    strong = kinds.groupBy("pattern").agg(F.sum("n").alias("n"), F.max_by("kind", F.struct("n", -F.col("kind"))).alias("kind")).filter(F.col("n") >= MIN_SEEDS)
     patterns = stored(strong.select("pattern", "kind"), "patterns")
     count = patterns.count()
 

@@ -152,6 +152,23 @@ def test_pii(spark, docs):
     assert masked[0] == "or call my number <PHONE> now" and masked[100] == "please call my number <PHONE>, then"
 
 
+def test_pii_contexts(spark):
+    """The words before an identifier count however far they reach, and seeds of all kinds count exactly."""
+
+    def added(rows):
+        got = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        return {r.doc_id: [s.value for s in r.added] for r in got if r.added}
+
+    gap = " " * 90
+    for first, between, after in (("u" * 200, " ", " "), ("v" * 3000, " ", " "), ("w" * 30_000, " ", " "), ("call", gap, gap), ("Call", " ", gap * 20), ("x\ny", "\t" * 100, " ")):
+        rows = [(i, f"so {first}{between}number{after}+1 (555) 010-{2000 + i} now") for i in range(6)] + [(100, f"so {first}{between}number{after}555-0199-77, then"), (101, f"number{gap}42")]
+        assert added(rows) == {100: ["555-0199-77"]}, (first[:9], between, after[:9])
+    mixed = [(0, "reach us a@b.org"), (1, "reach us c@d.org"), (2, "reach us 10.0.0.1"), (3, "reach us z-1234")]
+    each = [(0, "find me a@b.org"), (1, "find me +1 (555) 010-2000"), (2, "find me 10.0.0.1"), (3, "find me z-1234")]
+    assert added(mixed) == added(each) == {3: ["z-1234"]}
+    assert added([*mixed[:2], (2, "reach us c@d.org"), mixed[3]]) == {}  # two different seeds
+
+
 def test_toxicity(spark, docs):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(3))

@@ -16,7 +16,11 @@ from .common import pick, pieces, stored, texts_of
 #: Bytes of a string that counts as repeated, and of the grams whose minimum names its window.
 LENGTH, GRAM = 400, 64
 #: Starts that one slice covers at most, bytes of slices that one merging task takes, and of one shard.
-SLICE_STARTS, TASK_BYTES, SHARD_BYTES = 2048, 4 << 20, 1 << 20
+SLICE_STARTS, TASK_BYTES, SHARD_BYTES = 2048, 2 << 20, 512 << 10
+#: Bytes of different slices that meet under one key at most; those of other keys are cut into ever finer cells of starts.
+KEY_BYTES, CELLS = 512 << 10, (16, 1)
+#: Bytes that a symbol of the transforms has at most.
+STEP = 50
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS: dict[str, np.ndarray] = {}
 
@@ -33,19 +37,36 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+    return h
+
+
+def _sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the bytes before each place, weighted with the base's powers, and the inverse powers."""
+    up, down = _powers(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
+    return total, down
+
+
+def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """The hash of the `gram` bytes from each place that has as many."""
+    total, down = _sums(data)
+    with np.errstate(over="ignore"):
+        return _mixed((total[gram:] - total[:-gram]) * down[: len(total) - gram])
+
+
 def window_minima(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """For every `length` bytes the least hash of the grams within (equal strings have equal minima); and the grams' hashes."""
     n = len(data)
     if n < length:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    up, down = _powers(n)
-    with np.errstate(over="ignore"):
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
-        h = (total[gram:] - total[:-gram]) * down[: n - gram + 1]
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        h ^= h >> np.uint64(32)
+    h = gram_hashes(data, gram)
     w = length - gram + 1
     count = len(h) - w + 1
     padded = np.full(-(-len(h) // w) * w, np.iinfo(np.uint64).max, np.uint64)
@@ -94,65 +115,126 @@ def _slices(length: int, gram: int):
 
 
 class Shard(NamedTuple):
-    """Suffixes in order of their first `depth` bytes, and the bytes before them (0 at a string's start)."""
+    """Suffixes in order, with their transform. A symbol is `step` bytes, so the symbols of a suffix are `step` places apart.
 
-    order: np.ndarray
-    bwt: np.ndarray
-
-
-def _refine(order: np.ndarray, data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order the suffixes, given as sorted runs one after another, by `depth` bytes; and each position's block of equals.
+    order: the suffixes' places; fresh: whether a suffix differs from the one before it within `length` bytes; keys: the
+    transform, (symbol before a suffix) * wide + (that suffix's rank), in order; short: how many suffixes, the first
+    ones, are shorter than a symbol.
+    """
 
-    Each round knows the blocks of suffixes equal in k bytes, and splits them by the blocks of the suffixes k bytes on,
-    up to twice the depth. A run's suffixes are already in order within each block, so a round only interleaves runs: a
-    stable merge, not a sort. Only starts with `depth` bytes left in their string have meaningful blocks.
+    order: np.ndarray
+    fresh: np.ndarray
+    keys: np.ndarray
+    short: int
+
+
+def _symbols(data: np.ndarray, left: np.ndarray, step: int) -> np.ndarray:
+    """By place: the number (from 1) of the `step` bytes there among all such, 0 where fewer are left in the string."""
+    out = np.zeros(len(data), np.int64)
+    whole = np.flatnonzero(left >= step)
+    if len(whole):
+        out[whole] = np.unique(gram_hashes(data, step)[whole], return_inverse=True)[1] + 1
+    return out
+
+
+def shard_of(lo: int, hi: int, symbols: np.ndarray, left: np.ndarray, step: int, rounds: int) -> Shard:
+    """A shard of its own: the suffixes of whole strings, at places from lo up to hi, in order of their first `rounds` symbols."""
+    n, wide = hi - lo, len(symbols) + 1
+    rank, k = symbols[lo:hi], 1
+    while k < rounds:  # twice as many symbols each time
+        far = min(k, rounds - k) * step
+        beyond = np.zeros(n, np.int64)
+        beyond[: max(0, n - far)] = np.where(left[lo : max(lo, hi - far)] >= far, rank[far:], 0)
+        rank = np.unique(rank * wide + beyond, return_inverse=True)[1]
+        k = min(2 * k, rounds)
+    order = np.argsort(rank, kind="stable")
+    fresh = np.concatenate([[True], np.diff(rank[order]) != 0])
+    after, symbol = _after(order + lo, symbols, left, step)
+    short = n - len(after)
+    return Shard(order + lo, fresh, np.sort(symbol * wide + after), short)
+
+
+def _after(order: np.ndarray, symbols: np.ndarray, left: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each suffix of a symbol or more, in order: the rank of the suffix one symbol on, and its first symbol."""
+    low = order.min() if len(order) else 0
+    ranks = np.zeros((order.max() - low + 1) if len(order) else 0, np.int64)
+    ranks[order - low] = np.arange(len(order))
+    whole = order[left[order] >= step]
+    return ranks[whole - low + step], symbols[whole]
+
+
+def merge(a: Shard, b: Shard, symbols: np.ndarray, left: np.ndarray, step: int, rounds: int) -> Shard:
+    """Both shards as one; their suffixes are interleaved, not sorted.
+
+    The interleave is known by symbols: after r rounds, `lo` of b's suffixes are less than a suffix of a in r symbols. A
+    round takes a suffix's bound from that of the suffix one symbol on: as many of b's suffixes are less as b's
+    transform has smaller symbols, or the same symbol before a suffix below the bound. Once the interleave is stable,
+    or known to `length` bytes, a suffix's common prefix with its neighbour of b tells whether their interval goes on.
     """
-    n = len(data)
-    wide = np.zeros(n + 8, np.uint64)
-    wide[:n] = data
-    key = np.zeros(n, np.uint64)
-    for i in range(8):
-        key = (key << np.uint64(8)) | wide[i : n + i]
-    k, block = 8, np.zeros(n + depth, np.int64)
-    order = order[np.argsort(key[order], kind="stable")]
-    values = key[order]
-    while True:
-        ids = np.cumsum(np.concatenate([[True], values[1:] != values[:-1]]))
-        block[order] = ids
-        if k >= depth:
-            return order, block[:n]
-        step = min(k, depth - k)
-        values = block[order] * (n + 1) + block[order + step]
-        again = np.argsort(values, kind="stable")
-        order, values, k = order[again], values[again], k + step
-
-
-def shard_of(lo: int, hi: int, data: np.ndarray, depth: int) -> Shard:
-    """A shard of its own: the suffixes that start from lo up to hi, compared within the shard."""
-    order = _refine(np.arange(hi - lo), data[lo:hi], depth)[0] + lo
-    return Shard(order, np.where(order > 0, data[order - 1], 0).astype(np.uint8))
-
-
-def merge(shards: list[Shard], data: np.ndarray, depth: int) -> tuple[Shard, np.ndarray]:
-    """The merged transform, and each position's block of suffixes with a common prefix of `depth` bytes."""
-    order, block = _refine(np.concatenate([s.order for s in shards]), data, depth)
-    return Shard(order, np.where(order > 0, data[order - 1], 0).astype(np.uint8)), block
-
-
-def repeated_starts(strings: list[bytes], weights: list[int], depth: int, shard_bytes: int = SHARD_BYTES) -> list[np.ndarray]:
-    """Per string: whether the `depth` bytes from each start occur more than once, a string counting `weight` times."""
+    wide = len(symbols) + 1
+    after, symbol = _after(a.order, symbols, left, step)
+    base = symbol * wide
+    lo = np.zeros(len(a.order), np.int64)
+    for _ in range(rounds):
+        was, lo = lo, np.concatenate([np.zeros(a.short, np.int64), b.short + np.searchsorted(b.keys, base + lo[after])])
+        if np.array_equal(lo, was):
+            break
+    n = len(a.order) + len(b.order)
+    at_a = np.arange(len(a.order)) + lo
+    of_b = np.ones(n, bool)
+    of_b[at_a] = False
+    at_b = np.flatnonzero(of_b)
+    order, fresh, fresh_b = np.empty(n, np.int64), np.empty(n, bool), b.fresh.copy()
+    near = np.flatnonzero(a.fresh & (lo < len(b.order)))
+    same = common_symbols(a.order[near], b.order[lo[near]], symbols, left, step, rounds) == rounds
+    fresh_b[lo[near[same]]] = False  # b's interval goes on a's
+    order[at_a], order[at_b], fresh[at_a], fresh[at_b] = a.order, b.order, a.fresh, fresh_b
+    # both transforms stay in order under their new ranks: two runs to merge
+    keys = np.sort(np.concatenate([x.keys - x.keys % wide + at[x.keys % wide] for x, at in ((a, at_a), (b, at_b))]), kind="stable")
+    return Shard(order, fresh, keys, a.short + b.short)
+
+
+def common_symbols(a: np.ndarray, b: np.ndarray, symbols: np.ndarray, left: np.ndarray, step: int, rounds: int) -> np.ndarray:
+    """How many symbols, up to `rounds`, the suffixes at a's and b's places have in common."""
+    out, live = np.zeros(len(a), np.int64), np.arange(len(a))
+    for r in range(rounds):
+        live = live[np.minimum(left[a[live]], left[b[live]]) >= (r + 1) * step]
+        live = live[symbols[a[live] + r * step] == symbols[b[live] + r * step]]
+        out[live] = r + 1
+    return out
+
+
+def step_of(length: int) -> int:
+    """Bytes of a symbol: the largest divisor of `length` up to STEP."""
+    return max(d for d in range(1, min(STEP, length) + 1) if length % d == 0)
+
+
+def merged_shard(strings: list[bytes], length: int, shard_bytes: int) -> tuple[Shard, np.ndarray]:
+    """All strings' suffixes by a tree of merges of shards of about `shard_bytes`; and the strings' first places."""
     data = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8)
     lens = np.array([len(s) for s in strings], np.int64)
     first = np.concatenate([[0], np.cumsum(lens + 1)[:-1]])
-    groups = (first // shard_bytes).tolist()
-    cuts = [0, *(i for i in range(1, len(groups)) if groups[i] != groups[i - 1]), len(groups)]
-    bounds = [*(int(first[c]) for c in cuts[:-1]), len(data)]
-    shards = [shard_of(a, b, data, depth) for a, b in zip(bounds, bounds[1:], strict=False)]
-    _, block = merge(shards, data, depth)
-    counts = np.maximum(lens - depth + 1, 0)
+    left = np.repeat(first + lens, lens + 1) - np.arange(len(data))
+    step = step_of(length)
+    rounds, symbols = length // step, _symbols(data, left, step)
+    cuts = [0, *np.flatnonzero(np.diff(first // shard_bytes)) + 1]
+    bounds = [*first[cuts].tolist(), len(data)]
+    shards = [shard_of(lo, hi, symbols, left, step, rounds) for lo, hi in zip(bounds, bounds[1:], strict=False)]
+    while len(shards) > 1:
+        shards = [merge(*sorted(shards[i : i + 2], key=lambda s: len(s.order)), symbols, left, step, rounds) if i + 1 < len(shards) else shards[i] for i in range(0, len(shards), 2)]
+    return shards[0], first
+
+
+def repeated_starts(strings: list[bytes], weights: list[int], length: int, shard_bytes: int = SHARD_BYTES) -> list[np.ndarray]:
+    """Per string: whether the `length` bytes from each start occur more than once, a string counting `weight` times."""
+    shard, first = merged_shard(strings, length, shard_bytes)
+    lens = np.array([len(s) for s in strings], np.int64)
+    counts = np.maximum(lens - length + 1, 0)
     starts = np.repeat(first - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-    # intervals of the merged order are blocks; an interval is repeated if the strings that its starts lie in weigh two or more
-    total = np.bincount(block[starts], np.repeat(np.array(weights, np.float64), counts))
+    block = np.empty(len(shard.order), np.int64)
+    block[shard.order] = np.cumsum(shard.fresh)
+    # an interval is repeated if the strings that its starts lie in weigh two or more
+    total = np.bincount(block[starts], np.repeat(np.array(weights, np.float64), counts), block.max() + 1)
     again = total[block[starts]] > 1.5
     return np.split(again, np.cumsum(counts)[:-1])
 
@@ -163,31 +245,102 @@ def _runs(mask: np.ndarray, length: int) -> list[tuple[int, int]]:
     return [(int(a), int(b) + length - 1) for a, b in zip(at[::2], at[1::2], strict=True)]
 
 
-_DECIDED = pa.schema([("m", pa.int64()), ("h", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
+_DECIDED = pa.schema([("g", pa.int64()), ("h", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
 _SPANS = "array<struct<start:int,end:int>>"
 
 
 def _decide(length: int):
     def run(table: pa.Table) -> pa.Table:
-        rows = {(r["m"], r["h"]): r for r in table.select(["m", "h", "n", "data"]).to_pylist()}  # a repeated row gives a slice twice
+        rows = {(r["g"], r["h"]): r for r in table.select(["g", "h", "n", "data"]).to_pylist()}  # a repeated row gives a slice twice
         rows = [rows[k] for k in sorted(rows)]
         found = repeated_starts([r["data"] for r in rows], [r["n"] for r in rows], length)
         out = []
         for r, mask in zip(rows, found, strict=True):
             if mask.any():
-                out.append({"m": r["m"], "h": r["h"], "spans": [{"start": a, "end": b} for a, b in _runs(mask, length)]})
+                out.append({"g": r["g"], "h": r["h"], "spans": [{"start": a, "end": b} for a, b in _runs(mask, length)]})
         return pa.Table.from_pylist(out, _DECIDED)
 
     return run
 
 
+def _ddl(schema: pa.Schema) -> str:
+    names = {pa.int64(): "long", pa.int32(): "int", pa.bool_(): "boolean", pa.binary(): "binary"}
+    return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
+
+
+_CUT = pa.schema([("g", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("hot", pa.bool_()), ("m", pa.int64()), ("data", pa.binary())])
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("m", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("data", pa.binary())])
     for b in pieces(batches):
         rows = []
         for text, slices in zip(texts_of(b.column("text")), b.column("slices").to_pylist(), strict=True):
-            rows += [{"m": s["m"], "h": s["h"], "n": s["n"], "data": text[s["start"] : s["start"] + s["len"]]} for s in slices]
-        yield pa.RecordBatch.from_pylist(rows, schema)
+            rows += [{**s, "data": text[s["start"] : s["start"] + s["len"]]} for s in slices]
+        yield pa.RecordBatch.from_pylist(rows, _CUT)
+
+
+#: A piece's key and hash, its slice's key and hash (ka, kb), and its place there.
+_PIECES = pa.schema([(c, pa.int64()) for c in ("g", "h", "n", "m", "ka", "kb")] + [("start", pa.int32()), ("len", pa.int32())])
+
+
+def _finer(length: int, gram: int, cell: int):
+    """Slices cut where the place of the window's minimum, counted in cells of starts, changes.
+
+    Equal windows have their minimum (its first occurrence) at the same place, so they fall in the same cell, and all of
+    a cell's windows share length - cell + 1 bytes around the minimum: the piece's key is a hash of these.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, limit=256 << 10):
+            out = []
+            for x, of_g, of_h, n, m in zip(texts_of(b.column("text")), *(b.column(c).to_pylist() for c in ("g", "h", "n", "m")), strict=True):
+                data = np.frombuffer(x, np.uint8)
+                p = np.arange(len(x) - length + 1)
+                at = np.flatnonzero(gram_hashes(data, gram) == np.int64(m).view(np.uint64))
+                f = at[np.searchsorted(at, p)]
+                a = (f - p) // cell * cell
+                first = np.flatnonzero(np.concatenate([[True], (np.diff(f) != 0) | (np.diff(a) != 0)]))
+                total, down = _sums(data)
+                core = (f - a)[first]
+                with np.errstate(over="ignore"):
+                    key = _mixed((total[core + length - cell + 1] - total[core]) * down[core] + a[first].astype(np.uint64) * np.uint64(_BASE)).view(np.int64)
+                for i, e, g in zip(first.tolist(), [*first[1:].tolist(), len(p)], key.tolist(), strict=True):
+                    h = xxhash.xxh3_64_intdigest(x[i : e + length - 1])
+                    out.append((g, h - (h >> 63 << 64), n, m, of_g, of_h, i, e - i + length - 1))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * len(_PIECES), _PIECES.types, strict=True)], schema=_PIECES)
+
+    return run
+
+
+def _settle(kinds: DataFrame, texts: DataFrame, length: int, gram: int, level: int = 0) -> DataFrame:
+    """(g, h, spans) of the kinds of slices that hold repeated strings.
+
+    kinds: g (key), h (hash), n (weight), multi, at (m, ka, kb, start, len); texts: ka, kb, text, in which kinds lie.
+    """
+    shared = kinds.groupBy("g").agg(F.sum("n").alias("all"), F.count("*").alias("kinds"), F.max("multi").alias("any"), F.sum("at.len").alias("bytes")).filter("all > 1 or any").drop("any", "all")
+    kinds = stored(kinds.join(shared, "g").select("g", "h", "n", "at", "kinds", "bytes"), "shared")
+    decided = kinds.filter("kinds = 1 and n > 1").select("g", "h", F.array(F.struct(F.lit(0).alias("start"), F.col("at.len").alias("end"))).cast(_SPANS).alias("spans"))
+    several = kinds.filter("kinds > 1 or n = 1")
+    hot = F.lit(level < len(CELLS)) & (F.col("bytes") > KEY_BYTES)
+    size, crowded = several.agg(F.sum(F.when(~hot, F.col("at.len"))), F.count(F.when(hot, 1))).first()
+
+    if not size and not crowded:
+        return stored(decided, "decided")
+    each = F.struct("g", "h", "n", hot.alias("hot"), F.col("at.m").alias("m"), F.col("at.start").alias("start"), F.col("at.len").alias("len"))
+    cut = texts.join(several.groupBy("at.ka", "at.kb").agg(F.collect_list(each).alias("slices")), ["ka", "kb"]).select("text", "slices").mapInArrow(_cut, _ddl(_CUT))
+    cut = stored(cut, "cut") if crowded else cut
+    if size:
+        tasks = max(1, -(-size // TASK_BYTES))
+        merged = cut.filter(~F.col("hot")).withColumn("task", F.pmod(F.xxhash64("g"), F.lit(tasks))).select("task", "g", "h", "n", "data").groupBy("task").applyInArrow(_decide(length), f"g long, h long, spans {_SPANS}")
+        decided = decided.unionAll(merged)
+    if crowded:
+        slices = cut.filter("hot")
+        parts = stored(slices.select("g", "h", "n", "m", F.col("data").alias("text")).mapInArrow(_finer(length, gram, CELLS[level]), _ddl(_PIECES)), "pieces")
+        finer = parts.groupBy("g", "h").agg(F.sum("n").alias("n"), F.lit(False).alias("multi"), F.min(F.struct("m", "ka", "kb", "start", "len")).alias("at"))
+        found = _settle(stored(finer, "kinds"), slices.select(F.col("g").alias("ka"), F.col("h").alias("kb"), F.col("data").alias("text")), length, gram, level + 1)
+        back = parts.select("ka", "kb", "start", "g", "h").join(found, ["g", "h"]).select(F.col("ka").alias("g"), F.col("kb").alias("h"), F.transform("spans", lambda s: F.struct((s["start"] + F.col("start")).cast("int").alias("start"), (s["end"] + F.col("start")).cast("int").alias("end"))).alias("spans"))
+        decided = decided.unionAll(back.groupBy("g", "h").agg(F.flatten(F.collect_list("spans")).alias("spans")))
+    return stored(decided, "decided")
 
 
 _REMOVED = pa.schema([("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
@@ -220,27 +373,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     A window's minimum gram hash is the same wherever its bytes occur, so windows meet by it and nothing is missed.
     Neighbouring windows with one minimum form a slice; equal slices collapse to one with a weight; a slice whose
     minimum occurs nowhere else has no repeats. The other slices are dealt out by their minimum. A task splits its
-    slices into shards, orders each shard's suffixes with their transform, and merges the shards by refining the
-    interleave: blocks of common prefixes of 8, 16, ... bytes up to `length`. (A refinement by one byte a round gives the
-    same blocks after `length` rounds.) Texts are never all in one task; one minimum's different slices are.
+    slices into shards, builds each shard's order and Burrows-Wheeler transform, and merges them by twos, refining the
+    interleave from the transforms round by round, up to `length` bytes. Slices of a minimum that has more than
+    KEY_BYTES of different ones are first cut into cells of CELLS starts and meet by the bytes that a cell's windows
+    share; a cell of one start is one string, and its equals have collapsed. So no key gathers more than KEY_BYTES.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = pick(docs, "doc_id", "text").select("doc_id", text.alias("text")).select(F.xxhash64("text", "doc_id").alias("ka"), F.xxhash64("doc_id", F.lit(7), "text").alias("kb"), "doc_id", "text")
     sliced = stored(base.select("ka", "kb", "text").mapInArrow(_slices(length, gram), "ka long, kb long, mins array<long>, hashes array<long>, starts array<int>, lens array<int>, multi array<boolean>").filter(F.size("mins") > 0), "slices")
     each = sliced.select("ka", "kb", F.explode(F.arrays_zip("mins", "hashes", "starts", "lens", "multi")).alias("s")).select("ka", "kb", F.col("s.mins").alias("m"), F.col("s.hashes").alias("h"), F.col("s.starts").alias("start"), F.col("s.lens").alias("len"), F.col("s.multi").alias("multi"))
 
-    kinds = each.groupBy("m", "h").agg(F.count("*").alias("n"), F.min(F.struct("ka", "kb", "start", "len")).alias("at"), F.max("multi").alias("multi"))
-    kinds = stored(kinds, "kinds")
-    shared = kinds.groupBy("m").agg(F.sum("n").alias("all"), F.count("*").alias("kinds"), F.max("multi").alias("any")).filter("all > 1 or any").drop("any")
-    kinds = stored(kinds.join(shared, "m").select("m", "h", "n", "at", "kinds"), "shared")
-    alone = kinds.filter("kinds = 1 and n > 1").select("m", "h", F.array(F.struct(F.lit(0).alias("start"), F.col("at.len").alias("end"))).cast(_SPANS).alias("spans"))
-    several = kinds.filter("kinds > 1 or n = 1")
-    size = several.agg(F.sum("at.len")).first()[0] or 0
-    tasks = max(1, -(-size // TASK_BYTES))
-    wanted = several.groupBy("at.ka", "at.kb").agg(F.collect_list(F.struct("m", "h", "n", F.col("at.start").alias("start"), F.col("at.len").alias("len"))).alias("slices"))
-    cut = base.select("ka", "kb", "text").join(wanted, ["ka", "kb"]).select("text", "slices").mapInArrow(_cut, "m long, h long, n long, data binary")
-    merged = cut.withColumn("task", F.pmod(F.xxhash64("m"), F.lit(tasks))).groupBy("task").applyInArrow(_decide(length), f"m long, h long, spans {_SPANS}")
-    decided = stored(alone.unionAll(merged), "decided")
+    kinds = each.groupBy(F.col("m").alias("g"), "h").agg(F.count("*").alias("n"), F.max("multi").alias("multi"), F.min(F.struct("m", "ka", "kb", "start", "len")).alias("at"))
+    decided = _settle(stored(kinds, "kinds"), base.select("ka", "kb", "text"), length, gram).withColumnRenamed("g", "m")
 
     spans = each.join(decided, ["m", "h"]).select("ka", "kb", F.explode("spans").alias("s"), "start").select("ka", "kb", F.struct((F.col("s.start") + F.col("start")).cast("long").alias("start"), (F.col("s.end") + F.col("start")).cast("long").alias("end")).alias("s"))
     spans = spans.groupBy("ka", "kb").agg(F.collect_set("s").alias("spans"))

@@ -64,6 +64,67 @@ def raw(text: str) -> Expr:
     return Expr(lambda env: F.expr(text))
 
 
+class Fragment(Expr):
+    """SQL text made of parts: text as it is, and values, columns, placeholders and fragments in between."""
+
+    def __init__(self, *parts: Any):
+        self.parts = parts
+        super().__init__(lambda env: F.expr(self.text(env)))
+
+    def text(self, env: Env) -> str:
+        return "".join(p.text if isinstance(p, _Text) else _sql_of(p, env) for p in self.parts)
+
+
+class _Text:
+    def __init__(self, text: str):
+        self.text = text
+
+
+def _sql_of(x: Any, env: Env) -> str:
+    if isinstance(x, Fragment):
+        return x.text(env)
+    if isinstance(x, Ref):
+        return f"{quote(x.table)}.{quote(x.name)}"
+    if isinstance(x, Placeholder):
+        if x.name not in env:
+            raise CompileError(f"no value for placeholder {x.name}")
+        return _sql_of(env[x.name], env)
+    if isinstance(x, (list, tuple)):
+        return f"({', '.join(_sql_of(v, env) for v in x)})"
+    if x is None:
+        return "null"
+    if isinstance(x, bool):
+        return str(x).lower()
+    if isinstance(x, (int, float)):
+        return repr(x) if not isinstance(x, float) else f"{x!r}D"
+    if isinstance(x, (bytes, bytearray)):
+        return f"X'{x.hex()}'"
+    if isinstance(x, str):
+        return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    raise CompileError(f"a fragment can't hold a {type(x).__name__}")
+
+
+def sql(template: str, *values: Any) -> Fragment:
+    """A fragment: each `{}` of the template stands for the next value. Lists become `(a, b)`; values are never read as SQL."""
+    texts = template.split("{}")
+    if len(texts) != len(values) + 1:
+        raise CompileError(f"{len(texts) - 1} places for {len(values)} values")
+    return Fragment(*[p for t, v in zip(texts, (*values, empty()), strict=True) for p in (_Text(t), v)])
+
+
+def identifier(*names: str) -> Fragment:
+    """A quoted name, qualified if several are given."""
+    return Fragment(_Text(".".join(map(quote, names))))
+
+
+def empty() -> Fragment:
+    return Fragment()
+
+
+def join(parts: Sequence[Any], between: str = ", ") -> Fragment:
+    return Fragment(*[p for i, x in enumerate(parts) for p in ([_Text(between), x] if i else [x])])
+
+
 def param_fn(make: Callable[[], Any]) -> Expr:
     """A value made anew at each execution."""
     return Expr(lambda env: F.lit(make()))
@@ -261,6 +322,21 @@ def eq_folded(x: Any, value: Any) -> Expr:
     return Expr(lambda env: _fold(lower_(x, env)) == _fold(F.lit(value))) if isinstance(value, str) else eq(x, value)
 
 
+def ne_folded(x: Any, value: Any) -> Expr:
+    return not_(eq_folded(x, value)) if isinstance(value, str) else ne(x, value)
+
+
+def in_folded(x: Any, values: Sequence[Any]) -> Expr:
+    """In a list without regard to case, if it is of strings only; an empty one holds nothing."""
+    if not values or not all(isinstance(v, str) for v in values):
+        return in_(x, values)
+    return Expr(lambda env: _fold(lower_(x, env)).isin(*[_fold(F.lit(v)) for v in values]))
+
+
+def not_in_folded(x: Any, values: Sequence[Any]) -> Expr:
+    return not_(in_folded(x, values)) if values else not_in(x, values)
+
+
 def eq_or_null(x: Any, value: Any) -> Expr:
     return is_null(x) if value is None else eq(x, value)
 
@@ -282,12 +358,16 @@ def count_distinct(x: Any) -> Expr:
     return _aggregate(lambda env: F.count_distinct(lower_(x, env)))
 
 
-def sum_(x: Any) -> Expr:
-    return _aggregate(lambda env: F.sum(lower_(x, env)))
+def sum_(x: Any, as_text: bool = False) -> Expr:
+    return _aggregate(lambda env: _maybe_text(F.sum(lower_(x, env)), as_text))
+
+
+def avg(x: Any, as_text: bool = False) -> Expr:
+    return _aggregate(lambda env: _maybe_text(F.avg(lower_(x, env)), as_text))
 
 
-def avg(x: Any) -> Expr:
-    return _aggregate(lambda env: F.avg(lower_(x, env)))
+def _maybe_text(c: Column, as_text: bool) -> Column:
+    return c.cast("string") if as_text else c
 
 
 def min_(x: Any) -> Expr:

@@ -11,6 +11,7 @@ from typing import Any
 from pyspark.sql import Column as C
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, NumericType
 from pyspark.sql.window import Window
 
 from ..functions import expressions as X
@@ -36,23 +37,29 @@ class Edge:
     source_where: Mapping[str, Any] | None = None
 
 
-def one(target: str, source_cols=(), target_cols=(), **more: Any) -> Edge:
+def one(target: str, source_cols=None, target_cols=None, **more: Any) -> Edge:
     return Edge("one", target, _names_of(source_cols), _names_of(target_cols), **more)
 
 
-def many(target: str, source_cols=(), target_cols=(), **more: Any) -> Edge:
+def many(target: str, source_cols=None, target_cols=None, **more: Any) -> Edge:
     return Edge("many", target, _names_of(source_cols), _names_of(target_cols), **more)
 
 
 def _names_of(x: Any) -> tuple[str, ...]:
-    return (x,) if isinstance(x, str) else tuple(x)
+    if x is not None and not x:
+        raise CompileError("a relation's columns can't be empty; leave them out on both sides to adopt those of the reverse")
+    return () if x is None else (x,) if isinstance(x, str) else tuple(x)
 
 
 class RelationGraph:
     """Tables and their relations. A relation without columns adopts the one reverse edge, or that of the same alias."""
 
     def __init__(self, tables: Mapping[str, Table], relations: Mapping[str, Mapping[str, Edge]]):
+        for table in relations:
+            if table not in tables:
+                raise CompileError(f"relations of {table}, which is no table")
         self.tables, self.edges = dict(tables), {t: dict(relations.get(t, {})) for t in tables}
+        declared = {t: dict(e) for t, e in self.edges.items()}
         for table, edges in self.edges.items():
             for name, e in edges.items():
                 if name in self.tables[table].columns:
@@ -61,23 +68,31 @@ class RelationGraph:
                     raise CompileError(f"{table}.{name}: no table {e.target}")
                 if e.alias == "":
                     raise CompileError(f"{table}.{name}: an empty alias")
-                edges[name] = self._complete(table, name, e)
+                edges[name] = self._complete(declared, table, name, e)
 
-    def _complete(self, table: str, name: str, e: Edge) -> Edge:
+    def _complete(self, declared: Mapping[str, Mapping[str, Edge]], table: str, name: str, e: Edge) -> Edge:
         if bool(e.source_cols) != bool(e.target_cols):
             raise CompileError(f"{table}.{name}: columns on one side only")
         if e.source_cols:
+            if e.through is not None and e.through[0] not in self.tables:
+                raise CompileError(f"{table}.{name}: no table {e.through[0]} to go through")
             sides = [(e.source_cols, e.target_cols)] if e.through is None else [(e.source_cols, e.through[1]), (e.target_cols, e.through[2])]
             if any(len(a) != len(b) for a, b in sides):
-                raise CompileError(f"{table}.{name}: unequal numbers of columns")
-            for t, cols in ((table, e.source_cols), (e.target, e.target_cols)):
+                raise CompileError(f"{table}.{name}: unequal numbers of columns" + ("" if e.through is None else f", or some that don't go through {e.through[0]}"))
+            through = [] if e.through is None else [(e.through[0], (*e.through[1], *e.through[2]))]
+            for t, cols in ((table, e.source_cols), (e.target, e.target_cols), *through):
                 for c in cols:
                     self.tables[t][c]
             return e
-        found = [r for r in self.edges[e.target].values() if r.target == table and r.source_cols and r.alias == e.alias and not r.reversed]
+        if not declared[e.target]:
+            raise CompileError(f"{table}.{name}: no columns, and {e.target} declares no relations to take them from")
+        found = {n: r for n, r in declared[e.target].items() if r is not e and (r.alias == e.alias if e.alias else r.target == table and not r.alias)}
         if len(found) != 1:
-            raise CompileError(f"{table}.{name}: {'no' if not found else 'more than one'} reverse relation")
-        r = found[0]
+            many_ = f"more than one reverse relation ({', '.join(found)}); give two of them the same alias"
+            raise CompileError(f"{table}.{name}: {'no reverse relation' if not found else many_}")
+        (other, r), = found.items()
+        if not r.source_cols:
+            raise CompileError(f"{table}.{name}: neither it nor {e.target}.{other} has columns")
         through = (r.through[0], r.through[2], r.through[1]) if r.through else None
         # an adopted where speaks of the edge's target, which is our source
         return replace(e, source_cols=r.target_cols, target_cols=r.source_cols, through=through, reversed=e.where is None and r.where is not None, source_where=r.where if e.where is None else None)
@@ -88,6 +103,22 @@ class RelationGraph:
         return self.edges[table][name]
 
 
+def _class_of(kind: DataType) -> str:
+    """What values may be equal: numbers of any width, else values of one type."""
+    return "number" if isinstance(kind, NumericType) else kind.typeName()
+
+
+def _equal(left: DataFrame, a: str, right: DataFrame, b: str, what: str) -> C:
+    """Equality of two keys; refused for keys of different classes, such as 1 and '1', which Spark would cast."""
+    kinds = [df.schema[n].dataType for df, n in ((left, a), (right, b))]
+    if _class_of(kinds[0]) != _class_of(kinds[1]):
+        raise CompileError(f"{what}: {a} is {kinds[0].simpleString()} and {b} is {kinds[1].simpleString()}")
+    return left[quote(a)] == right[quote(b)]
+
+
+#: Rows of a page up to which its keys are broadcast to the children.
+PAGE_ROWS = 200_000
+
 _OPS: dict[str, Callable] = {
     "eq": X.eq, "ne": X.ne, "gt": X.gt, "gte": X.gte, "lt": X.lt, "lte": X.lte, "in": X.in_, "notIn": X.not_in, "like": X.like, "ilike": X.ilike, "notLike": X.not_like, "notIlike": X.not_ilike,
 }
@@ -177,7 +208,7 @@ class Loader:
         rows = self.filtered(self.filtered(self.db.frame(target.name), e.target, e.where), e.target, v if isinstance(v, Mapping) else None)
         keys = self._keyed(rows, e, target).select([f"__k{i}" for i in range(len(e.source_cols))]).distinct().withColumn(flag, F.lit(True))
         keys = keys.toDF(*[f"{flag}_{i}" for i in range(len(e.source_cols))], flag)
-        on = reduce(lambda a, b: a & b, [F.col(quote(source.columns[c].name)) == F.col(f"{flag}_{i}") for i, c in enumerate(e.source_cols)])
+        on = reduce(lambda a, b: a & b, [_equal(df, source.columns[c].name, keys, f"{flag}_{i}", f"{table}.{name}") for i, c in enumerate(e.source_cols)])
         df = df.join(keys, on, "left")
         has = F.col(flag).isNotNull()
         if e.reversed:
@@ -193,7 +224,7 @@ class Loader:
         links = self.db.frame(self.graph.tables[junction].name)
         j = self.graph.tables[junction].columns
         links = links.select(*[F.col(quote(j[c].name)).alias(f"__k{i}") for i, c in enumerate(to_source)], *[F.col(quote(j[c].name)).alias(f"__t{i}") for i, c in enumerate(to_target)])
-        on = reduce(lambda a, b: a & b, [F.col(quote(target.columns[c].name)) == F.col(f"__t{i}") for i, c in enumerate(e.target_cols)])
+        on = reduce(lambda a, b: a & b, [_equal(rows, target.columns[c].name, links, f"__t{i}", f"{junction} to {e.target}") for i, c in enumerate(e.target_cols)])
         return rows.join(links, on).drop(*[f"__t{i}" for i in range(len(to_target))])
 
     # --- loading
@@ -207,12 +238,15 @@ class Loader:
         t = self.graph.tables[table]
         rows = self.filtered(self.db.frame(t.name), table, config.get("where"))
         orders = self._orders(t, config.get("order_by"))
-        shaped, fields = self._shape(rows, table, config)
+        limit = self._number(config["limit"]) if config.get("limit") is not None else -1
+        offset = self._number(config["offset"]) if config.get("offset") is not None else 0
+        if limit >= 0 or offset:
+            # the page is taken before relations are joined; it has to be the same each time it is read, so ties go by key
+            orders += [F.asc(quote(t.columns[k].name)) for k in t.key or t.columns]
+            rows = rows.orderBy(*orders).offset(max(0, offset))
+            rows = rows.limit(limit) if limit >= 0 else rows
+        shaped, fields = self._shape(rows, table, config, limit)
         shaped = shaped.orderBy(*orders) if orders else shaped
-        if config.get("offset") is not None:
-            shaped = shaped.offset(self._number(config["offset"]))
-        if config.get("limit") is not None and self._number(config["limit"]) >= 0:
-            shaped = shaped.limit(self._number(config["limit"]))
         return shaped.select(*[c.alias(n) for n, c in fields.items()])
 
     def find_first(self, table: str, config: Mapping[str, Any] | None = None) -> Any:
@@ -253,9 +287,12 @@ class Loader:
                 raise CompileError(f"{t.name} has no column {k}")
         return [k for k in t.columns if live.get(k)] if any(live.values()) else [k for k in t.columns if k not in live]
 
-    def _shape(self, rows: DataFrame, table: str, config: Mapping[str, Any]) -> tuple[DataFrame, dict[str, C]]:
-        """Rows joined with the relations wanted, and the fields to read from them; helper columns never leave."""
-        t, fields = self.graph.tables[table], {}
+    def _shape(self, rows: DataFrame, table: str, config: Mapping[str, Any], page: int = -1) -> tuple[DataFrame, dict[str, C]]:
+        """Rows joined with the relations wanted, and the fields to read from them; helper columns never leave.
+
+        page: the number of rows, if they are a page; only its children are then grouped.
+        """
+        t, fields, base = self.graph.tables[table], {}, rows
         for k in self._chosen(t, config.get("columns")):
             ref = F.col(quote(t.columns[k].name))
             codec = t[k].codec
@@ -269,19 +306,22 @@ class Loader:
             if not sub:
                 continue
             e, field = self.graph.edge(table, name), f"__rel{next(_names)}"
-            rows = self._attach(rows, table, e, {} if sub is True else sub, field)
+            rows = self._attach(rows, table, e, {} if sub is True else sub, field, (base, page) if page >= 0 else None)
             fields[name] = F.col(field)
         if not fields:
             raise CompileError("nothing is selected")
         return rows, fields
 
-    def _attach(self, rows: DataFrame, table: str, e: Edge, config: Mapping[str, Any], field: str) -> DataFrame:
+    def _attach(self, rows: DataFrame, table: str, e: Edge, config: Mapping[str, Any], field: str, page: tuple[DataFrame, int] | None) -> DataFrame:
         source, target = self.graph.tables[table], self.graph.tables[e.target]
         if any(isinstance(config.get(k), Placeholder) for k in ("limit", "offset")):
             raise CompileError("a nested page takes numbers")
         child = self.filtered(self.filtered(self.db.frame(target.name), e.target, e.where), e.target, config.get("where"))
         child = self._keyed(child, e, target)
         keys = [f"__k{i}" for i in range(len(e.source_cols))]
+        if page is not None:  # the same keys as below, whose types are looked at there
+            of = page[0].select(*[F.col(quote(source.columns[c].name)).alias(f"__p{i}") for i, c in enumerate(e.source_cols)]).distinct()
+            child = child.join(F.broadcast(of) if page[1] <= PAGE_ROWS else of, [F.col(k) == F.col(f"__p{i}") for i, k in enumerate(keys)], "left_semi")
         orders = self._orders(target, config.get("order_by"))
         low, high = config.get("offset") or 0, config.get("limit")
         if orders or low or high is not None or e.kind == "one":
@@ -301,7 +341,7 @@ class Loader:
         else:
             grouped = shaped.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__rn", "__row")), lambda a, b: F.when(a["__rn"] < b["__rn"], -1).when(a["__rn"] > b["__rn"], 1).otherwise(0)), lambda x: x["__row"]).alias(field))
         grouped = grouped.toDF(*[f"{field}_{k}" for k in keys], field)
-        on = reduce(lambda a, b: a & b, [F.col(quote(source.columns[c].name)) == F.col(f"{field}_{k}") for c, k in zip(e.source_cols, keys, strict=True)])
+        on = reduce(lambda a, b: a & b, [_equal(rows, source.columns[c].name, grouped, f"{field}_{k}", f"{table} to {e.target}") for c, k in zip(e.source_cols, keys, strict=True)])
         rows = rows.join(grouped, on, "left")
         value = F.col(field)
         if e.reversed:

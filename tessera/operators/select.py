@@ -52,6 +52,10 @@ def _whole(n: Any, env: Mapping[str, Any], what: str) -> int:
     return math.trunc(n)
 
 
+def _refs_within(shape: Mapping[str, Any]) -> list[Ref]:
+    return [r for v in shape.values() for r in (_refs_within(v) if isinstance(v, Mapping) else [v] if isinstance(v, Ref) else [])]
+
+
 @dataclass(frozen=True)
 class Select:
     """Each method returns a new query. where, group_by, having, order_by, limit and offset replace; joins add."""
@@ -140,12 +144,15 @@ class Select:
         return list(self.shape())
 
     def _group(self, shape: Mapping[str, Any], env: Mapping[str, Any], nullable: set[str], depth: int) -> C:
-        """A struct; null if a top-level group's columns all come from one table that may be missing, and all are null."""
+        """A struct; null if a top-level group's columns all come from one table that may be missing, and all are null.
+
+        A group without columns of its own goes by those of the groups in it.
+        """
         if not shape:
             raise CompileError("an empty group")
         leaves = {k: self._group(v, env, nullable, depth + 1) if isinstance(v, Mapping) else self._leaf(v, env) for k, v in shape.items()}
         out = F.struct(*[c.alias(k) for k, c in leaves.items()])
-        refs = [v for v in shape.values() if isinstance(v, Ref)]
+        refs = [v for v in shape.values() if isinstance(v, Ref)] or _refs_within(shape)
         if depth == 1 and refs and len({r.table for r in refs}) == 1 and refs[0].table in nullable:
             missing = lower_(refs[0], env).isNull()
             for r in refs[1:]:
@@ -190,13 +197,22 @@ class Select:
         if self.is_distinct:
             rows = rows.distinct()
             if orders:
-                rows = rows.orderBy(*orders)
+                rows = rows.orderBy(*[F.desc(quote(k)) if isinstance(o, Order) and o.down else F.asc(quote(k)) for o in self.orders for k in (self._key_of(o, shape),)])
         if self.offset_ is not None:
             rows = rows.offset(max(0, _whole(self.offset_, env, "offset")))
         if self.limit_ is not None and (n := _whole(self.limit_, env, "limit")) >= 0:
             rows = rows.limit(n)
         return rows
 
+    @staticmethod
+    def _key_of(order: Any, shape: Mapping[str, Any]) -> str:
+        """The key of a distinct projection that an order goes by; rows that are one may differ in anything else."""
+        x = order.operand if isinstance(order, Order) else order
+        for k, v in shape.items():
+            if v is x or (isinstance(v, Ref) and isinstance(x, Ref) and (v.table, v.name) == (x.table, x.name)):
+                return k
+        raise CompileError("an order that isn't in the distinct projection")
+
     def _aggregates(self) -> bool:
         return any(isinstance(v, Expr) and v.aggregate for v in (self.projection or {}).values())
 

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Mapping
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterable, Iterator, Mapping
+from contextlib import contextmanager
+from dataclasses import dataclass, field, replace
 from typing import Any
 
+from ..functions.expressions import CompileError
 from .kit import Journal, diff, impact_of, levels
+from .schema import Column, Table
+
+_TAG = Column("tag", "text", primary_key=True)
 
 
 @dataclass(frozen=True)
@@ -76,3 +81,49 @@ def verify(journal: Journal, migrations: Mapping[str, Migration], schema: Mappin
         found += [f"{tag}: {x}" for x in dangling(m.after)]
         now = m.after
     return found + [f"the schema needs: {s}" for s in diff(now, schema).statements]
+
+
+def apply_migrations(journal: Journal, migrations: Mapping[str, Callable[[], None]], log: Callable[[], Iterable[str]], record: Callable[[str], None]) -> list[str]:
+    """Run what is pending, in order, and record each once it has run; the tags that ran. log: the tags recorded so far.
+
+    A migration that fails stops the rest and isn't recorded, so that the next call begins with it.
+    """
+    pending = journal.pending(log())
+    if missing := [t for t in pending if t not in migrations]:
+        raise CompileError(f"{missing[0]} has no migration")
+    for tag in pending:
+        migrations[tag]()
+        record(tag)
+    return pending
+
+
+def migration_log(store: Any, table: str = "__migrations") -> tuple[Callable[[], list[str]], Callable[[str], None]]:
+    """(log, record) that keep applied tags in a table of a versioned store."""
+    spark, t = store.spark, Table(table, {"tag": _TAG}, primary_key=("tag",))
+
+    def log() -> list[str]:
+        return [r.tag for r in store.read(table).collect()] if store.has(table) else []
+
+    def record(tag: str) -> None:
+        new = spark.createDataFrame([(tag,)], "tag string")
+        store.append(t, new)
+
+    return log, record
+
+
+@contextmanager
+def unguarded(tables: dict[str, Table], name: str) -> Iterator[Table]:
+    """A backfill of an append-only table: within the block the table is without its guard, which is put back in any case.
+
+    tables: the declared tables, in which the guard is lifted and put back. A guard that has changed meanwhile is refused.
+    """
+    guard = tables[name].append_only
+    if guard is None:
+        raise CompileError(f"{name} has no guard")
+    tables[name] = replace(tables[name], append_only=None)
+    try:
+        yield tables[name]
+        if tables[name].append_only is not None:
+            raise CompileError(f"{name} was guarded anew within the backfill")
+    finally:
+        tables[name] = replace(tables[name], append_only=guard)

@@ -22,17 +22,27 @@ class Codec:
     spark_type: str
     encode: Callable[[Any], C] = F.lit
     decode: Callable[[C], C] = lambda c: c
+    #: For many rows at once: the type of a column of values, what makes such a value, and what makes the stored column.
+    batch: tuple[str, Callable[[Any], Any], Callable[[C], C]] | None = None
+
+
+def _same(x: Any) -> Any:
+    return x
 
 
 def _epoch(unit: Callable[[C], C], back: Callable[[C], C]) -> Codec:
-    return Codec("bigint", lambda v: unit(F.lit(v).cast("timestamp")), back)
+    return Codec("bigint", lambda v: unit(F.lit(v).cast("timestamp")), back, ("timestamp", _same, unit))
+
+
+def _made(kind: str, make: Callable[[Any], Any], decode: Callable[[C], C]) -> Codec:
+    return Codec(kind, lambda v: F.lit(make(v)), decode, (kind, make, _same))
 
 
 #: By logical type; stored as integer, text, real, numeric or blob.
 CODECS = {
     "integer": Codec("bigint"), "text": Codec("string"), "real": Codec("double"), "numeric": Codec("decimal(38,18)", F.lit, lambda c: c.cast("string")), "blob": Codec("binary"),
-    "boolean": Codec("int", lambda v: F.lit(int(bool(v))), lambda c: c != 0), "bigint": Codec("string", lambda v: F.lit(str(v)), lambda c: c.cast("decimal(38,0)")),
-    "timestamp": _epoch(F.unix_seconds, F.timestamp_seconds), "timestamp_ms": _epoch(F.unix_millis, F.timestamp_millis), "json": Codec("string", lambda v: F.lit(json.dumps(v, separators=(",", ":"))), F.try_parse_json),
+    "boolean": _made("int", lambda v: int(bool(v)), lambda c: c != 0), "bigint": _made("string", str, lambda c: c.cast("decimal(38,0)")),
+    "timestamp": _epoch(F.unix_seconds, F.timestamp_seconds), "timestamp_ms": _epoch(F.unix_millis, F.timestamp_millis), "json": _made("string", lambda v: json.dumps(v, separators=(",", ":")), F.try_parse_json),
     "any": Codec("string", F.lit),
 }
 
@@ -50,8 +60,10 @@ class Column:
     references: tuple[str, str] | None = None
     on_delete: str = "no action"
     generated: str | None = None
+    #: None: unstated, so that a live one is kept; "binary": none is wanted.
     collate: str | None = None
     codec: Codec | None = None
+    autoincrement: bool = False
 
     @property
     def coder(self) -> Codec:
@@ -62,6 +74,16 @@ def snake_case(name: str) -> str:
     return re.sub(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", "_", name).lower()
 
 
+@dataclass(frozen=True)
+class Index:
+    """columns: keys, (key, "desc"), or SQL text of an expression. where: the predicate of a partial index."""
+
+    columns: tuple[Any, ...]
+    name: str = ""
+    unique: bool = False
+    where: str | None = None
+
+
 @dataclass(frozen=True)
 class Table:
     """columns: by logical key. A table is unchanged by use; alias_of() gives another qualifier."""
@@ -71,9 +93,12 @@ class Table:
     primary_key: tuple[str, ...] = ()
     uniques: tuple[tuple[str, ...], ...] = ()
     checks: dict[str, str] = field(default_factory=dict)
-    indexes: tuple[tuple[str, tuple[str, ...], bool], ...] = ()
+    indexes: tuple[Index | tuple[str, tuple[str, ...], bool], ...] = ()
+    #: Columns that are never rewritten; () guards all of them.
     append_only: tuple[str, ...] | None = None
     alias: str = ""
+    strict: bool = False
+    without_rowid: bool = False
 
     @property
     def qualifier(self) -> str:

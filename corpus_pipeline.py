@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import pick, small, stored
-from tessera.llm.decontaminate import find_contamination
+from tessera.llm.decontaminate import without_contamination
 from tessera.llm.minhash import near_duplicates
 from tessera.llm.packing import pack
 from tessera.llm.pii import redact
@@ -27,16 +27,26 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group linked by 5-word shingles at a similarity of 0.8 or more."""
-    found = near_duplicates(docs, k=5, percent=80)
-    gone = stored(found.filter("not kept").select("doc_id").distinct(), "duplicates")
-    return pick(docs, *COLUMNS).join(small(gone, gone.count()), "doc_id", "left_anti").select(*COLUMNS)
+    """One document of each group linked by 5-word shingles at a similarity of 0.8 or more: the first by id and text.
+
+    Rows go by id and text, so rows of different texts under one id are judged one by one; of rows equal in both one
+    stays. Rows with a null id, and rows without words, are no copies of anything and stay.
+    """
+    key = ["doc_id", "ka", "kb"]
+    found = near_duplicates(docs, k=5, percent=80, with_keys=True)
+    gone = stored(found.filter("not is_first").select(*key).distinct(), "duplicates")
+    repeated = stored(found.filter("is_first and doc_id is not null and n_shingles > 0").groupBy(*key).count().filter("count > 1").select(*key), "repeated")
+    rows = pick(docs, *COLUMNS).withColumns({"ka": F.xxhash64("text"), "kb": F.xxhash64(F.lit(7), "text")})
+    rows = rows.join(small(gone, gone.count()), key, "left_anti")
+    if n := repeated.count():
+        again = small(repeated, n)
+        rows = rows.join(again, key, "left_anti").unionByName(rows.join(again, key, "left_semi").dropDuplicates(key))
+    return rows.select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no window with the benchmark."""
-    found = find_contamination(docs, table(spark, sf_dir, "benchmark"), keep=COLUMNS)
-    return found.filter("not hit").select(*COLUMNS)
+    return without_contamination(docs, table(spark, sf_dir, "benchmark"), COLUMNS)
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,13 +10,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, pieces, stored, texts_of
+from .common import pick, pieces, small, stored, texts_of
 
 #: Words of a window that counts as shared, and of a fingerprinted gram; a window of WINDOW words holds
 #: WINDOW - GRAM + 1 grams, the minimum of which is its fingerprint, so no shared window can be missed.
 WINDOW, GRAM = 10, 5
-#: Bytes of benchmark text that one pass over the documents holds in memory; larger benchmarks take more passes.
-PASS_BYTES = 32 << 20
+#: Fingerprints of a benchmark that go to the tasks as a sorted array (8 bytes each); more meet the documents' by a shuffle.
+PRINTS_SENT = 2_000_000
 _WORDS_KEPT = 150_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -63,113 +62,157 @@ def _minima(words: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def _index(items: list[tuple[str | None, bytes]]) -> dict:
-    """By window length: fingerprint -> places (item, first word) of the windows that it stands for; words by item."""
-    hashes, at, words = _Hashes(), defaultdict(lambda: defaultdict(list)), []
-    for n, (_, text) in enumerate(items):
-        w = np.array([hashes[x] for x in words_of(text)], np.uint64)
-        words.append(w)
-        if size := min(WINDOW, len(w)):
-            for p, m in enumerate(_minima(w, size).tolist()):
-                at[size][m].append((n, p))
-    return {"sizes": {size: (np.array(sorted(x), np.uint64), dict(x)) for size, x in at.items()}, "words": words, "ids": [i for i, _ in items]}
-
-
-_OUT = pa.schema([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string())), ("hit", pa.bool_())])
-_DDL = "n_words long, spans array<struct<start:long,end:long>>, items array<string>, hit boolean"
-
-
-def _scan(shared):
-    def extend(w, p, start, end, index, size, table, seen, hits, items) -> None:
-        """Grow each place of the window at p to the longest run of equal words within the document."""
-        for n, q in table[int(seen)]:
-            other = index["words"][n]
-            if not np.array_equal(w[p : p + size], other[q : q + size]):
-                continue
-            lo, hi = 0, size
-            while p - lo > start and q - lo > 0 and w[p - lo - 1] == other[q - lo - 1]:
-                lo += 1
-            while p + hi < end and q + hi < len(other) and w[p + hi] == other[q + hi]:
-                hi += 1
-            hits.add((p - lo, p + hi))
-            items.add(n)
+def _windows(words: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the `size` words from each of some places."""
+    out = words[at] + np.uint64(size)
+    with np.errstate(over="ignore"):
+        for i in range(1, size):
+            out *= _MIX
+            out ^= out >> np.uint64(29)
+            out += words[at + i]
+        out *= _MIX
+        out ^= out >> np.uint64(32)
+    return out
+
+
+_ITEM = pa.schema([("item_id", pa.string()), ("size", pa.int32()), ("prints", pa.list_(pa.int64())), ("windows", pa.list_(pa.int64()))])
+
+
+def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per item: its window length, and each window's fingerprint and hash."""
+    hashes = _Hashes()
+    for b in pieces(batches):
+        rows = []
+        for item, text in zip(b.column("item_id").to_pylist(), texts_of(b.column("text")), strict=True):
+            w = np.array([hashes[x] for x in words_of(text)], np.uint64)
+            if size := min(WINDOW, len(w)):
+                windows = _windows(w, np.arange(len(w) - size + 1), size)
+                rows.append({"item_id": item, "size": size, "prints": _minima(w, size).view(np.int64), "windows": windows.view(np.int64)})
+        yield pa.RecordBatch.from_pylist(rows, _ITEM)
+
+
+_RUN = pa.struct([("size", pa.int32()), ("print", pa.int64()), ("pos", pa.int64()), ("windows", pa.list_(pa.int64()))])
+_SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+
+
+def _scan(sizes: list[int], sent):
+    """Per text: n_words, and the runs of neighbouring windows with one fingerprint, if it is among those sent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, hashes = shared.value, _Hashes()
+        hashes = _Hashes()
         for b in pieces(batches):
             split = [words_of(t) for t in texts_of(b.column("text"))]
             lens = np.array([len(x) for x in split], np.int64)
             w = np.fromiter((hashes[x] for ws in split for x in ws), np.uint64, int(lens.sum()))
             del split
             ends = np.cumsum(lens)
-            hits, items = defaultdict(set), defaultdict(set)
-            for size, (prints, table) in index["sizes"].items():
+            doc = np.repeat(np.arange(len(lens)), lens)
+            runs: list[list[dict]] = [[] for _ in lens]
+            for size in sizes:
                 if len(w) < size:
                     continue
                 m = _minima(w, size)
-                first = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))  # the winnowed fingerprints
-                last = np.append(first[1:], len(m))
-                for i in np.flatnonzero(prints[np.minimum(np.searchsorted(prints, m[first]), len(prints) - 1)] == m[first]):
-                    for p in range(first[i], last[i]):
-                        d = int(np.searchsorted(ends, p, side="right"))
-                        if p + size <= ends[d]:
-                            extend(w, p, int(ends[d] - lens[d]), int(ends[d]), index, size, table, m[p], hits[d], items[d])
-            spans, names = [], []
-            for d in range(len(lens)):
-                merged = []
-                for s, e in sorted(hits.get(d, ())):
-                    s, e = int(s - (ends[d] - lens[d])), int(e - (ends[d] - lens[d]))
-                    if merged and s <= merged[-1]["end"]:
-                        merged[-1]["end"] = max(merged[-1]["end"], e)
-                    else:
-                        merged.append({"start": s, "end": e})
-                spans.append(merged)
-                names.append(sorted({index["ids"][n] for n in items.get(d, ())} - {None}))
-            extra = [pa.array(x, t.type) for x, t in zip((lens, spans, names, [bool(x) for x in spans]), _OUT, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, *extra], names=[*b.schema.names, *_OUT.names])
+                of = doc[: len(m)]
+                whole = np.arange(size, len(m) + size) <= ends[of]
+                first = np.flatnonzero(whole & np.concatenate([[True], (m[1:] != m[:-1]) | (of[1:] != of[:-1])]))
+                if sent is not None:
+                    prints = sent.value[size]
+                    first = first[prints[np.minimum(np.searchsorted(prints, m[first]), len(prints) - 1)] == m[first]]
+                change = np.flatnonzero(np.concatenate([(m[1:] != m[:-1]) | ~whole[1:] | (of[1:] != of[:-1]), [True]])) + 1
+                last = change[np.searchsorted(change, first, side="right")]
+                count = last - first
+                places = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+                windows = np.split(_windows(w, places, size).view(np.int64), np.cumsum(count)[:-1])
+                for p, h in zip(first.tolist(), windows, strict=False):
+                    d = of[p]
+                    runs[d].append({"size": size, "print": int(m[p].view(np.int64)), "pos": int(p - ends[d] + lens[d]), "windows": h})
+            extra = [pa.array(lens, pa.int64()), pa.array(runs, pa.list_(_RUN))]
+            cols = b.drop_columns(["text"])
+            yield pa.RecordBatch.from_arrays([*cols.columns, *extra], names=[*cols.schema.names, "n_words", "runs"])
 
     return run
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), with_text: bool = False) -> DataFrame:
+def _join_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hit windows, extended to the longest runs of hit words."""
+    for b in batches:
+        spans = []
+        for hits in b.column("hits"):
+            at = np.array(hits.values.flatten()[0]), np.array(hits.values.flatten()[1])
+            order = np.argsort(at[0], kind="stable")
+            start, end = at[0][order], np.maximum.accumulate((at[0] + at[1])[order])
+            cut = np.concatenate([[True], start[1:] > end[:-1]])
+            spans.append([{"start": s, "end": e} for s, e in zip(start[cut].tolist(), end[np.append(cut[1:], True)].tolist(), strict=True)])
+        cols = b.drop_columns(["hits"])
+        yield pa.RecordBatch.from_arrays([*cols.columns, pa.array(spans, pa.list_(_SPAN))], names=[*cols.schema.names, "spans"])
+
+
+_RUNS = "array<struct<size:int,print:long,pos:long,windows:array<long>>>"
+_SPANS = "array<struct<start:bigint,end:bigint>>"
+
+
+def _rows(docs: DataFrame, *keep: str) -> DataFrame:
+    """`keep` columns as k0, k1, ..., the text's hash, and the text."""
+    text = F.col("text").cast("string")
+    base = pick(docs, *keep, *([] if "text" in keep else ["text"]))
+    return base.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.xxhash64(text).alias("ka"), F.xxhash64(F.lit(7), text).alias("kb"), text.alias("text"))
+
+
+def _hits(rows: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(rows without text, with n_words; ka, kb, spans and items of the texts that hit; the latter's number), both stored."""
+    spark = rows.sparkSession
+    items = pick(benchmark, "item_id", "text").select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+    marks = items.mapInArrow(_fingerprint, "item_id string, size int, prints array<long>, windows array<long>")
+    marks = stored(marks.select("item_id", "size", F.explode(F.arrays_zip("prints", "windows")).alias("x")).select("item_id", "size", F.col("x.prints").alias("print"), F.col("x.windows").alias("window")), "benchmark")
+    prints = stored(marks.select("size", "print").distinct(), "prints")
+    sizes, sent = sorted(r[0] for r in prints.select("size").distinct().collect()), None
+    if prints.count() <= PRINTS_SENT:
+        got = prints.toArrow()
+        size, value = got.column("size").to_numpy(), got.column("print").to_numpy().view(np.uint64)
+        sent = spark.sparkContext.broadcast({s: np.sort(value[size == s]) for s in sizes})
+
+    kind = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes if n != "text")
+    scanned = stored(rows.mapInArrow(_scan(sizes, sent), f"{kind}, n_words long, runs {_RUNS}"), "scanned")
+    runs = scanned.filter(F.size("runs") > 0).select("ka", "kb", F.explode("runs").alias("r")).select("ka", "kb", "r.*")
+    if sent is None:
+        runs = runs.join(prints, ["size", "print"], "left_semi")
+    places = runs.select("ka", "kb", "size", "pos", F.posexplode("windows").alias("i", "window")).select("ka", "kb", "size", (F.col("pos") + F.col("i")).alias("pos"), "window")
+    # windows of the same items are one class, so that a text meets an item once and not once a window
+    windows = marks.groupBy("size", "window").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    windows = stored(windows.withColumns({"ca": F.xxhash64("items"), "cb": F.xxhash64(F.lit(7), "items")}), "windows")
+    hit = stored(places.join(small(windows.select("size", "window", "ca", "cb"), windows.count()), ["size", "window"]).select("ka", "kb", "pos", "size", "ca", "cb").distinct(), "hits")
+    spans = hit.groupBy("ka", "kb").agg(F.collect_set(F.struct("pos", F.col("size").cast("long").alias("size"))).alias("hits")).mapInArrow(_join_spans, f"ka long, kb long, spans {_SPANS}")
+    classes = stored(windows.groupBy("ca", "cb").agg(F.first("items").alias("items")), "classes")
+    named = hit.select("ka", "kb", "ca", "cb").distinct().join(small(classes, classes.count()), ["ca", "cb"])
+    named = named.select("ka", "kb", F.explode("items").alias("item")).groupBy("ka", "kb").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    found = stored(spans.join(named, ["ka", "kb"], "left"), "contaminated")
+    return scanned.drop("runs"), found, found.count()
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Per document row: `keep` columns, n_words, spans (merged hit word ranges), items (sorted ids), hit.
 
     docs: text and the `keep` columns; benchmark: item_id, text; further columns are ignored. A benchmark window is
     WINDOW consecutive words of an item, or all words of a shorter one; a document word inside any occurrence is hit.
     Null and empty texts have no words and hit nothing. Items with a null id hit words but are not listed. Repeated
     documents are judged one by one; repeated items count once by id. Empty tables give no rows, or rows without hits.
-    Documents are never shuffled; whole texts are read. The benchmark is held in parts of PASS_BYTES (checked),
-    one pass over the documents for each part.
+
+    A window's fingerprint is its least gram hash; neighbouring windows with one fingerprint form a run. Documents' runs
+    meet the benchmark's fingerprints, which go to the tasks as a sorted array, or, if there are more than PRINTS_SENT,
+    by a shuffled join. The windows that met fingerprints stand for are then joined by a hash of their words, and hit
+    windows extend to the longest runs of words. All work is in proportion to words, however often they repeat; equal
+    texts are joined once; texts aren't shuffled.
     """
-    spark = docs.sparkSession
-    items = pick(benchmark, "item_id", "text").select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-size // PASS_BYTES))
-    cols = [*keep, *([] if "text" in keep else ["text"])]
-    # spare names, so that `keep` may hold any name
-    base = pick(docs, *cols).select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(cols) if c != "text"], F.col("text").cast("string").alias("text"))
-    kind = ", ".join(f"`{n}` {t}" for n, t in base.dtypes)
-    out = None
-    for part in range(parts):
-        rows = items.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == part).collect() if parts > 1 else items.collect()
-        shared = spark.sparkContext.broadcast(_index([(r[0], r[1].encode()) for r in rows]))
-        if out is None:
-            out = base.mapInArrow(_scan(shared), f"{kind}, {_DDL}")
-        else:
-            held = stored(out.withColumnsRenamed({"n_words": "o_words", "spans": "o_spans", "items": "o_items", "hit": "o_hit"}), "contaminated")
-            more = held.mapInArrow(_scan(shared), ", ".join(f"`{n}` {t}" for n, t in held.dtypes) + f", {_DDL}")
-            out = more.select(*base.columns, "n_words", _merge("o_spans", "spans").alias("spans"), F.array_sort(F.array_union("o_items", "items")).alias("items"), (F.col("o_hit") | F.col("hit")).alias("hit"))
-    names = [F.col(f"k{i}").alias(c) for i, c in enumerate(cols) if c != "text"] + ([F.col("text")] if with_text or "text" in keep else [])
-    return out.select(*names, "n_words", "spans", "items", "hit")
-
-
-def _merge(a: str, b: str):
-    """Union of two sorted lists of word ranges, overlapping and touching ranges joined."""
-
-    def add(acc, x):
-        last = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))))
-        return F.when(F.size(acc) == 0, F.array(x)).when(x["start"] <= last["end"], joined).otherwise(F.concat(acc, F.array(x)))
-
-    kind = "array<struct<start:bigint,end:bigint>>"
-    return F.aggregate(F.array_sort(F.concat(a, b)), F.array().cast(kind), lambda acc, x: add(acc, x).cast(kind))
+    scanned, found, n = _hits(_rows(docs, *keep), benchmark)
+    out = scanned.join(small(found, n), ["ka", "kb"], "left")
+    names = [F.col(f"k{i}").alias(c) for i, c in enumerate(keep)]
+    return out.select(*names, "n_words", F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.col("spans").isNotNull().alias("hit"))
+
+
+def without_contamination(docs: DataFrame, benchmark: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """`columns` (text among them) of the rows that find_contamination finds no hit in."""
+    _, found, n = _hits(_rows(docs), benchmark)
+    rows = pick(docs, *columns)
+    key = rows.select("*", F.xxhash64(F.col("text").cast("string")).alias("_ka"), F.xxhash64(F.lit(7), F.col("text").cast("string")).alias("_kb"))
+    keys = found.select(F.col("ka").alias("_ka"), F.col("kb").alias("_kb"))
+    return key.join(small(keys, n), ["_ka", "_kb"], "left_anti").select(*columns)

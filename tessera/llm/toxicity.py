@@ -19,6 +19,8 @@ SAMPLE_ROWS = 20_000
 #: A lexicon term is in this many toxic sample texts at least, and in this share; and exp(LOG_ODDS) times as often in toxic as in other texts.
 MIN_TEXTS, MIN_SHARE, LOG_ODDS = 3, 0.004, 3.0
 TREES, DEPTH, RATE, BINS = 60, 3, 0.2, 64
+#: Parts of the sample: a row's features come from a lexicon, and its calibrating margin from trees, that never saw its part.
+FOLDS = 5
 _WORDS_KEPT = 150_000
 
 #: Second-person pronouns of the corpus's languages.
@@ -52,27 +54,48 @@ def _stems(word: str) -> Iterator[str]:
 
 
 def _terms(batches: Iterator[pa.RecordBatch], wanted: frozenset[str] | None) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("term", pa.string()), ("n", pa.int64())])
+    schema = pa.schema([("term", pa.string()), ("fold", pa.int32()), ("n", pa.int64())])
     for b in pieces(batches):
         seen: Counter = Counter()
-        for text in b.column("text").to_pylist():
+        for text, fold in zip(b.column("text").to_pylist(), b.column("fold").to_pylist(), strict=True):
             words = {terms_of(t)[0] for t in set((text or "").split())}
             terms = {t for w in words if len(w) > 2 for t in _stems(w)}
-            seen.update(terms if wanted is None else terms & wanted)
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], schema=schema)
-
-
-def _lexicon(sample: DataFrame) -> dict[str, float]:
-    """Weights of words and stems (marked by a closing `-`) that tell toxic texts, from texts' counts by label."""
-    n = dict(sample.groupBy("toxic").count().collect())
-    count = lambda rows, wanted: rows.select("text").mapInArrow(lambda it: _terms(it, wanted), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    least = max(MIN_TEXTS, math.ceil(MIN_SHARE * n.get(1, 0)))
-    bad = {r.term: r.n for r in count(sample.filter("toxic = 1"), None).filter(F.col("n") >= least).collect()}
-    if not bad or 0 not in n:
-        return {}
-    good = {r.term: r.n for r in count(sample.filter("toxic = 0"), frozenset(bad)).collect()}
-    odds = {t: math.log((c + 0.5) / (n[1] + 1)) - math.log((good.get(t, 0) + 0.5) / (n[0] + 1)) for t, c in bad.items()}
-    return {t: w for t, w in odds.items() if w >= LOG_ODDS}
+            seen.update((t, fold) for t in (terms if wanted is None else terms & wanted))
+        cols = [t for t, _ in seen], [f for _, f in seen], list(seen.values())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
+
+
+def _parts_left_out() -> list[frozenset[int]]:
+    """The parts that some lexicon must not see: none, each, and each two."""
+    return [frozenset(), *(frozenset({j, k}) for j in range(FOLDS) for k in range(j, FOLDS))]
+
+
+def _lexicons(sample: DataFrame) -> dict[frozenset[int], dict[str, float]]:
+    """By parts left out: weights of words and stems (marked by a closing `-`) that tell toxic texts, from texts' counts by label."""
+    n = np.zeros((2, FOLDS))
+    for r in sample.groupBy("toxic", "fold").count().collect():
+        n[r.toxic, r.fold] = r["count"]
+
+    def counts(toxic: int, wanted: frozenset[str] | None, least: int) -> dict[str, np.ndarray]:
+        rows = sample.filter(F.col("toxic") == toxic).select("text", "fold").mapInArrow(lambda it: _terms(it, wanted), "term string, fold int, n long")
+        by_fold = [F.sum(F.when(F.col("fold") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(FOLDS)]
+        rows = rows.groupBy("term").agg(F.sum("n").alias("n"), *by_fold).filter(F.col("n") >= least)
+        return {r[0]: np.array(r[2:], np.float64) for r in rows.collect()}
+
+    bad = counts(1, None, MIN_TEXTS) if n.sum(1).all() else {}
+    good = counts(0, frozenset(bad), 1) if bad else {}
+    none, out = np.zeros(FOLDS), {}
+    for left_out in _parts_left_out():
+        use = np.array([k not in left_out for k in range(FOLDS)])
+        clean, toxic = n[:, use].sum(1)
+        least, weights = max(MIN_TEXTS, math.ceil(MIN_SHARE * toxic)), {}
+        for t, c in bad.items():
+            if (here := c[use].sum()) >= least:
+                w = math.log((here + 0.5) / (toxic + 1)) - math.log((good.get(t, none)[use].sum() + 0.5) / (clean + 1))
+                if w >= LOG_ODDS:
+                    weights[t] = w
+        out[left_out] = weights
+    return out
 
 
 class Featuriser:
@@ -123,21 +146,22 @@ class Featuriser:
 
 
 class Boosted:
-    """Trees on binned features for logistic loss; scores through an isotonic map fitted on rows kept from the trees."""
+    """Trees on binned features for logistic loss; scores through an isotonic map of margins."""
 
-    def fit(self, x: np.ndarray, y: np.ndarray, apart: np.ndarray) -> Boosted:
+    def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
         self.base = math.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))
         self.cuts = [np.unique(np.quantile(c[c > c.min()] if (c > c.min()).any() else c, np.linspace(0, 1, BINS - 1))) for c in x.T]
         bins = np.stack([np.searchsorted(c, v, side="right") for c, v in zip(self.cuts, x.T, strict=True)], 1)
-        train = ~apart
-        self.trees, f, b, t = [], np.full(train.sum(), self.base), bins[train], y[train]
+        self.trees, f = [], np.full(len(y), self.base)
         for _ in range(TREES):
             p = 1 / (1 + np.exp(-f))
-            tree, where = self._tree(b, t - p, p * (1 - p))
+            tree, where = self._tree(bins, y - p, p * (1 - p))
             self.trees.append(tree)
             f += tree[1][where]
-        margin = self.margin(x)
-        self.x, self.y = _isotonic(margin[apart], y[apart])
+        return self
+
+    def calibrate(self, margin: np.ndarray, y: np.ndarray) -> Boosted:
+        self.x, self.y = _isotonic(margin, y)
         return self
 
     def _tree(self, b: np.ndarray, g: np.ndarray, h: np.ndarray):
@@ -193,30 +217,44 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS):
     """(featuriser, model) from labelled rows that aren't held out; the model is the share of toxic rows if only one class is there.
 
-    Null labels and null ids teach nothing; of repeated labels of an id the highest counts.
+    Null labels and null ids teach nothing; of repeated labels of an id the highest counts. The lexicon that gives a
+    row's features when trees are fitted was mined from other parts of the sample than the row's; the margins that
+    calibrate come from trees, and features, that were fitted without the row's part. Lexicon and trees in use come from
+    all parts.
     """
     marks = pick(labels, "doc_id", "toxic").filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     marks = stored(marks, "labels")
     share = min(1.0, sample_rows / max(1, marks.count()))
     marks = marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+    fold = (F.crc32(F.concat(F.lit("fold"), F.col("doc_id").cast("string")).cast("binary")) % FOLDS).cast("int")
     # the sample's ids are about sample_rows, so they may go to every reader of the texts
-    sample = stored(pick(docs, "doc_id", "text").join(F.broadcast(marks), "doc_id").select("doc_id", F.col("text").cast("string").alias("text"), "toxic"), "sample")
-    featurise = Featuriser(_lexicon(sample))
+    sample = stored(pick(docs, "doc_id", "text").join(F.broadcast(marks), "doc_id").select(F.col("text").cast("string").alias("text"), "toxic", fold.alias("fold")), "sample")
+    lexicons = _lexicons(sample)
+    featurisers = {left_out: Featuriser(lexicon) for left_out, lexicon in lexicons.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            rows = [x.tobytes() for x in featurise([t or "" for t in b.column("text").to_pylist()])]
-            yield pa.RecordBatch.from_arrays([b.column("toxic"), b.column("apart"), pa.array(rows, pa.binary())], names=["toxic", "apart", "x"])
-
-    apart = F.crc32(F.concat(F.lit("apart"), F.col("doc_id").cast("string")).cast("binary")) % 4 == 0
-    rows = sample.select("doc_id", "text", "toxic", apart.alias("apart")).mapInArrow(run, "toxic int, apart boolean, x binary").collect()
-    y = np.array([r.toxic for r in rows], np.float64)
-    split = np.array([r.apart for r in rows], bool)
-    if len(rows) == 0 or any(len(np.unique(y[s])) < 2 for s in (split, ~split)):
-        return Featuriser(featurise.lexicon), float(y.mean()) if len(y) else 0.0
-    x = np.stack([np.frombuffer(r.x) for r in rows])
-    order = np.lexsort((*x.T, y))  # rows come in any order; sums of floats must not depend on it
-    return Featuriser(featurise.lexicon), Boosted().fit(x[order], y[order], split[order])
+            texts, folds = [t or "" for t in b.column("text").to_pylist()], b.column("fold").to_numpy()
+            x = np.zeros((len(texts), FOLDS, len(FEATURES)))
+            for j in np.unique(folds).tolist():
+                at = np.flatnonzero(folds == j)
+                for k in range(FOLDS):
+                    x[at, k] = featurisers[frozenset({j, k})]([texts[i] for i in at])
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), b.column("fold"), pa.array([r.tobytes() for r in x], pa.binary())], names=["toxic", "fold", "x"])
+
+    rows = sample.mapInArrow(run, "toxic int, fold int, x binary").collect()
+    y, folds = np.array([r.toxic for r in rows], np.float64), np.array([r.fold for r in rows], np.int64)
+    featurise = Featuriser(lexicons[frozenset()])
+    if len(np.unique(y)) < 2:
+        return featurise, float(y.mean()) if len(y) else 0.0
+    x = np.stack([np.frombuffer(r.x).reshape(FOLDS, -1) for r in rows])
+    order = np.lexsort((*x.reshape(len(x), -1).T, folds, y))  # rows come in any order; sums of floats must not depend on it
+    x, y, folds = x[order], y[order], folds[order]
+    margin = np.zeros(len(y))
+    for k in np.unique(folds):
+        at = folds == k
+        margin[at] = Boosted().fit(x[~at, k], y[~at]).margin(x[at, k]) if not at.all() else 0.0
+    return featurise, Boosted().fit(x[np.arange(len(y)), folds], y).calibrate(margin, y)
 
 
 def score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, carry: tuple[str, ...] = ()) -> DataFrame:

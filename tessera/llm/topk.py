@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -10,10 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import pick, small
+from .common import pick, stored
 
-CANDIDATES_PER_BLOCK = 65_536
-QUERIES_PER_BLOCK = 1_024
+#: Bytes of weights of a block of candidates, and of the queries that one pass over the candidates takes along.
+CANDIDATE_BYTES, QUERY_BYTES = 32 << 20, 16 << 20
 _LONG = 2.0**62
 
 
@@ -27,33 +29,49 @@ def _valid() -> Column:
     return F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~F.coalesce(bad, F.lit(False))
 
 
-def _pack(ids: np.ndarray, rows: list[np.ndarray]) -> dict:
-    """One block, sorted by id: ids, and the ragged rows as offsets and weights."""
-    order = np.argsort(ids, kind="stable")
-    lens = np.array([len(rows[i]) for i in order], dtype=np.int64)
-    flat = np.concatenate([rows[i] for i in order]) if len(order) else np.zeros(0, np.int64)
-    return {"ids": ids[order].tobytes(), "offsets": np.concatenate([[0], np.cumsum(lens)]).astype(np.int64).tobytes(), "weights": flat.tobytes()}
-
+class _Rows(NamedTuple):
+    """Ragged rows of weights, sorted by id."""
 
-_BLOCK = pa.schema([("ids", pa.binary()), ("offsets", pa.binary()), ("weights", pa.binary())])
+    ids: np.ndarray
+    offsets: np.ndarray
+    weights: np.ndarray
 
 
-def _blocks(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, rows = [], []
-        for b in batches:
-            terms = b.column(1)
-            offsets, values = terms.offsets.to_numpy(), terms.values.to_numpy(zero_copy_only=False).astype(np.int64)
-            for i, v in enumerate(b.column(0).to_pylist()):
-                ids.append(v)
-                rows.append(values[offsets[i] : offsets[i + 1]])
-                if len(ids) == size:
-                    yield pa.RecordBatch.from_pylist([_pack(np.array(ids, np.int64), rows)], _BLOCK)
-                    ids, rows = [], []
-        if ids:
-            yield pa.RecordBatch.from_pylist([_pack(np.array(ids, np.int64), rows)], _BLOCK)
-
-    return run
+def _pack(ids: list[int], rows: list[np.ndarray]) -> _Rows:
+    order = np.argsort(np.array(ids, np.int64), kind="stable")
+    lens = np.array([len(rows[i]) for i in order], np.int64)
+    flat = np.concatenate([rows[i] for i in order]) if len(order) else np.zeros(0, np.int64)
+    return _Rows(np.array(ids, np.int64)[order], np.concatenate([[0], np.cumsum(lens)]), flat)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Rows]:
+    """The candidates in blocks of about CANDIDATE_BYTES."""
+    ids, rows, size = [], [], 0
+    for b in batches:
+        terms = b.column(1)
+        offsets, values = terms.offsets.to_numpy(), terms.values.to_numpy(zero_copy_only=False).astype(np.int64)
+        for i, v in enumerate(b.column(0).to_pylist()):
+            ids.append(v)
+            rows.append(values[offsets[i] : offsets[i + 1]])
+            size += 8 * len(rows[-1]) + 16
+            if size >= CANDIDATE_BYTES:
+                yield _pack(ids, rows)
+                ids, rows, size = [], [], 0
+    if ids:
+        yield _pack(ids, rows)
+
+
+def _postings(block: _Rows) -> list[tuple[slice | np.ndarray, np.ndarray]]:
+    """By term: the rows with a weight there, and the weights."""
+    lens = np.diff(block.offsets)
+    term = np.arange(len(block.weights)) - np.repeat(block.offsets[:-1], lens)
+    row = np.repeat(np.arange(len(block.ids)), lens)
+    live = block.weights != 0
+    order = np.argsort(term[live], kind="stable")
+    t, rows, weights = term[live][order], row[live][order], block.weights[live][order]
+    cut = np.searchsorted(t, np.arange((t[-1] + 2) if len(t) else 1))
+    parts = [(rows[a:b], weights[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
+    return [(slice(None) if len(p) == len(block.ids) else p, x) for p, x in parts]
 
 
 def _select(score: np.ndarray, k: int) -> np.ndarray:
@@ -68,39 +86,28 @@ def _select(score: np.ndarray, k: int) -> np.ndarray:
 _HITS = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
-def _search(k: int):
+def _search(k: int, sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                ids, at, w = (np.frombuffer(r[c], np.int64) for c in ("ids", "offsets", "weights"))
-                term = np.arange(len(w)) - np.repeat(at[:-1], np.diff(at))
-                row = np.repeat(np.arange(len(ids)), np.diff(at))
-                live = w != 0
-                order = np.argsort(term[live], kind="stable")
-                t, rows, weights = term[live][order], row[live][order], w[live][order]
-                cut = np.searchsorted(t, np.arange((t[-1] + 2) if len(t) else 1))
-                postings = []
-                for i in range(len(cut) - 1):
-                    p, x = rows[cut[i] : cut[i + 1]], weights[cut[i] : cut[i + 1]]
-                    postings.append((slice(None) if len(p) == len(ids) else p, x))
-                qids, qat, qw = (np.frombuffer(r[c], np.int64) for c in ("q_ids", "q_offsets", "q_weights"))
-                out = ([], [], [])
-                for q, qid in enumerate(qids):
-                    acc = np.zeros(len(ids), np.int64)
-                    for i, x in enumerate(qw[qat[q] : qat[q + 1]][: len(postings)]):
-                        if x:
-                            where, weight = postings[i]
-                            acc[where] += x * weight
-                    lo, hi = np.searchsorted(ids, [qid, qid + 1])
-                    own_ids = ids
-                    if lo < hi:
-                        acc, own_ids = np.delete(acc, slice(lo, hi)), np.delete(ids, slice(lo, hi))
-                    best = _select(acc, k)
-                    out[0].append(np.full(len(best), qid))
-                    out[1].append(own_ids[best])
-                    out[2].append(acc[best])
-                if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], schema=_HITS)
+        queries: _Rows = sent.value
+        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(queries.ids)
+        for block in _blocks(batches):
+            postings = _postings(block)
+            for q, qid in enumerate(queries.ids.tolist()):
+                acc = np.zeros(len(block.ids), np.int64)
+                for (where, weight), x in zip(postings, queries.weights[queries.offsets[q] : queries.offsets[q + 1]].tolist(), strict=False):
+                    if x:
+                        acc[where] += x * weight
+                ids = block.ids
+                lo, hi = np.searchsorted(ids, [qid, qid + 1])
+                if lo < hi:
+                    acc, ids = np.delete(acc, slice(lo, hi)), np.delete(ids, slice(lo, hi))
+                at = _select(acc, k)
+                score, ids = np.concatenate([best[q][0], acc[at]]), np.concatenate([best[q][1], ids[at]])
+                kept = np.lexsort((ids, -score))[:k] if len(ids) > k else slice(None)
+                best[q] = score[kept], ids[kept]
+        count = [len(s) for s, _ in best]
+        if sum(count):
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(queries.ids, count)), pa.array(np.concatenate([i for _, i in best])), pa.array(np.concatenate([s for s, _ in best]))], schema=_HITS)
 
     return run
 
@@ -112,28 +119,25 @@ def exact_topk(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1
     candidates: all rows but those with the query's own vec_id. A component x weighs floor(scale * x), x as double,
     saturating at +-2**62; sums wrap as 64-bit integers. Vectors of unequal length count as 0 beyond their end.
     Null ids, null vectors and vectors with null or non-finite components take no part; empty vectors score 0.
-    Rows repeating a vec_id are separate candidates, and one query each. An empty table gives no rows.
+    Rows repeating a vec_id are separate candidates; of those that are queries the least vector asks. An empty table
+    gives no rows.
 
-    Blocks of candidates meet blocks of queries by the query block's number; each pair scatters weighted postings
-    term by term into dense score arrays, keeps k by partition selection, and the survivors merge by a window.
+    Candidates stay where they are read, in blocks of CANDIDATE_BYTES. Queries go to them QUERY_BYTES at a time, a pass
+    over the candidates each. A query scatters weighted postings term by term into a dense score array of the block,
+    keeps k by partition selection, and merges them with those of the task's earlier blocks; a window merges the tasks.
     """
+    spark = vectors.sparkSession
     rows = pick(vectors, "vec_id", "embedding").filter(_valid()).select(F.col("vec_id").cast("long").alias("vec_id"), _terms(scale).alias("terms"))
-    asked = rows.filter(F.pmod("vec_id", F.lit(every)) == 0)
-    count = asked.count()
-    n = max(1, -(-count // QUERIES_PER_BLOCK))
-    queries = (
-        asked.select(F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias("block"), "vec_id", "terms")
-        .groupBy("block").applyInArrow(_query_block, "block long, q_ids binary, q_offsets binary, q_weights binary")
-    )
-    blocks = rows.mapInArrow(_blocks(CANDIDATES_PER_BLOCK), "ids binary, offsets binary, weights binary")
-    pairs = blocks.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).join(small(queries, count, 16 * QUERIES_PER_BLOCK), "block")
-    hits = pairs.drop("block").mapInArrow(_search(k), "query_id long, vec_id long, score long")
+    asked = rows.filter(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min("terms").alias("terms"))
+    size = asked.agg(F.sum(8 * F.size("terms") + 24)).first()[0] or 0
+    passes, found = max(1, -(-size // QUERY_BYTES)), []
+    for i in range(passes):
+        some = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == i).collect()
+        sent = spark.sparkContext.broadcast(_pack([r.vec_id for r in some], [np.array(r.terms, np.int64) for r in some]))
+        hits = rows.mapInArrow(_search(k, sent), "query_id long, vec_id long, score long")
+        if passes > 1:  # one pass's queries are let go before the next
+            hits = stored(hits, "hits")
+            sent.unpersist()
+        found.append(hits)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return hits.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _query_block(table: pa.Table) -> pa.Table:
-    block, ids, terms = table.column(0)[0].as_py(), table.column(1).to_numpy(), table.column(2).to_pylist()
-    ids, first = np.unique(ids, return_index=True)
-    packed = _pack(ids, [np.array(terms[i], np.int64) for i in first])
-    return pa.table({"block": pa.array([block], pa.int64()), **{f"q_{k}": pa.array([v], pa.binary()) for k, v in packed.items()}})
+    return reduce(DataFrame.unionAll, found).withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

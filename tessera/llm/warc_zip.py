@@ -17,7 +17,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, pieces, shared_dir, small, stored
+from .common import BROADCAST_ROWS, pick, pieces, shared_dir, stored
 
 #: Payloads of fewer bytes are always stored in full.
 REVISIT_BYTES = 100
@@ -177,7 +177,8 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
     Of rows with equal payloads of REVISIT_BYTES or more those with the smallest page_id are responses and the others
     revisit it (rows that repeat that id are all responses; null ids revisit any other). An empty table gives archives
     without records. Archives lie in `folder`, by default below spark.checkpoint.dir; the manifest names the archives of
-    the tasks that succeeded, so lost executors leave at most unnamed files. Only digests are shuffled, not payloads.
+    the tasks that succeeded, so lost executors leave at most unnamed files. Only digests are shuffled; where more than
+    BROADCAST_ROWS of them repeat, payloads are too, once, by digest and id, so that no digest's copies meet in a task.
     """
     spark = pages.sparkSession
     folder = folder or shared_dir(spark)
@@ -185,8 +186,14 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
     rows = pick(pages, "page_id", "url", "html").withColumn("digest", F.sha2(html.cast("binary"), 256))
     long = F.octet_length(html) >= REVISIT_BYTES
     firsts = stored(rows.filter(long).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null").select("digest", "first"), "firsts")
-    rows = rows.join(small(firsts, firsts.count()), "digest", "left")
-    refers = F.when(F.col("page_id").eqNullSafe(F.col("first")), None).otherwise(F.col("first"))
+    if firsts.count() <= BROADCAST_ROWS:
+        rows = rows.join(F.broadcast(firsts), "digest", "left")
+        refers = F.when(F.col("page_id").eqNullSafe(F.col("first")), None).otherwise(F.col("first"))
+    else:
+        copies = rows.select("page_id", "digest").join(firsts, "digest").filter(~F.col("page_id").eqNullSafe(F.col("first")))
+        copies = stored(copies.select(F.col("page_id").alias("copy"), F.col("digest").alias("of"), "first").distinct(), "copies")
+        rows = rows.join(copies, rows.page_id.eqNullSafe(copies.copy) & (rows.digest == copies.of), "left")
+        refers = F.col("first")
     out = rows.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), "digest", refers.alias("refers_to"))
     return stored(out.mapInArrow(_write(f"{folder}/archives"), "archive string, records long"), "manifest")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,10 +20,13 @@ BROADCAST_ROWS = 200_000
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is absent (local tests only) a temporary folder is made and the setting filled in.
+    Where the setting is absent a temporary folder is made and the setting filled in, in a local session only: on a
+    cluster other machines couldn't read it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir isn't set; it must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"

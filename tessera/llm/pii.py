@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import pick, small, stored
 
@@ -21,10 +20,15 @@ PATTERNS = {
 #: A word that may be an identifier: it has a digit or an @.
 CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 
-#: A pattern is the CONTEXT words before an entity. It needs this many different seeds, and this confidence to add spans.
-CONTEXT, MIN_SEEDS, MIN_CONFIDENCE, ROUNDS = 2, 3, 0.6, 3
+#: A pattern is the CONTEXT words before or after an entity. It needs this many different known entities, and this
+#: confidence to name others. An entity is known from this score on, if this share of its places, on one side, is beside
+#: such patterns. Patterns and entities take turns at most ROUNDS times.
+CONTEXT, MIN_KNOWN, MIN_CONFIDENCE, MIN_SCORE, MIN_SHARE, ROUNDS = 2, 3, 0.6, 0.6, 0.25, 5
 
-#: Code points before a place in which its context is looked for, before the whole text is.
+#: Patterns' word runs that go into the plan as a set; more are joined.
+RUNS_SENT = 20_000
+
+#: Code points beside a place in which its context is looked for, before the whole text is.
 _WIDTHS = (80, 1000, 20_000)
 
 _SPANS = "array<struct<start:bigint,end:bigint,value:string>>"
@@ -72,23 +76,27 @@ def _tagged(kind: str, spans: Column) -> Column:
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), s["end"].alias("end"), s["value"].alias("value")))
 
 
-def _context(text: Column, start: Column) -> Column:
-    """The CONTEXT whitespace-separated words before a place, lower-cased, or null if there are fewer.
+def _context(text: Column, place: Column, after: bool) -> Column:
+    """The CONTEXT whitespace-separated words before or after a place, lower-cased, or null if there are fewer.
 
-    Read from the nearest code points; from ever more, up to the whole text, while the first word may be cut or missing.
+    Read from the nearest code points; from ever more, up to the whole text, while a word may be cut or missing.
     """
+    have = F.char_length(text) - place if after else place
+
+    def words(width: Column) -> Column:
+        near = F.substring(text, (place + 1).cast("int"), width.cast("int")) if after else F.substring(text, F.greatest(place - width, F.lit(0)).cast("int") + 1, F.least(place, width).cast("int"))
+        # the punctuation that closes the entity belongs to no word
+        return F.filter(F.split(F.lower(F.regexp_replace(near, r"^\p{Punct}+", "") if after else near), r"\s+"), lambda w: w != "")
 
-    def last(width) -> tuple[Column, Column]:
-        near = F.substring(text, F.greatest(start - width, F.lit(0)).cast("int") + 1, F.least(start, width).cast("int"))
-        words = F.filter(F.split(F.lower(near), r"\s+"), lambda w: w != "")
-        return F.size(words), F.array_join(F.slice(words, -CONTEXT, CONTEXT), " ")
+    def taken(found: Column) -> Column:
+        return F.array_join(F.slice(found, 1, CONTEXT) if after else F.slice(found, -CONTEXT, CONTEXT), " ")
 
-    size, found = last(start)
-    out = F.when(size >= CONTEXT, found)
+    found = words(have)
+    out = F.when(F.size(found) >= CONTEXT, taken(found))
     for width in reversed(_WIDTHS):
-        size, found = last(F.lit(width))
-        out = F.when(start <= width, F.when(size >= CONTEXT, found)).when(size > CONTEXT, found).otherwise(out)
-    return out
+        found = words(F.lit(width))
+        out = F.when(have <= width, F.when(F.size(found) >= CONTEXT, taken(found))).when(F.size(found) > CONTEXT, taken(found)).otherwise(out)
+    return F.when(out.isNotNull(), F.concat(F.lit("> " if after else "< "), out))
 
 
 def base_spans(docs: DataFrame, *keep: str) -> DataFrame:
@@ -116,11 +124,15 @@ def find_pii(docs: DataFrame) -> DataFrame:
     are searched one by one, null ids too. An empty table gives no rows. Whole texts are searched, and never shuffled.
 
     base: matches of PATTERNS that pass their kind's check. added: candidates (words with a digit or an @, closing
-    punctuation cut) that overlap no base span and follow a pattern of high confidence. Seeds are the base spans; a
-    pattern is the words before a seed, kept if MIN_SEEDS different seeds follow it. Patterns and instances form a
-    graph: a pattern's confidence is its instances' summed scores over all places where its words occur in the corpus,
-    whatever follows; an instance's score is 1 for a seed, else the chance that one of its patterns is right. Both are
-    scored in turn, ROUNDS times, over all documents. Patterns of MIN_CONFIDENCE name their seeds' commonest kind.
+    punctuation cut) that overlap no base span and stand beside a pattern of high confidence.
+
+    Seeds are the base spans. Patterns are the CONTEXT words before or after an entity, instances the seeds and the
+    candidates; both form a graph with the number of places as weight. In turns, patterns of MIN_KNOWN different known
+    entities get a confidence, the summed scores of their entities in proportion to all places of the pattern's words in
+    the corpus, whatever is beside (one more counted, against chance); then instances get a score, the chance that one
+    of the confident patterns beside them is right (1 for seeds). Those of MIN_SCORE are known from then on, unless most
+    of their places, by MIN_SHARE, are elsewhere; so their other contexts become patterns in the next round. Rounds end
+    when nothing more gets known. A pattern names its entities' commonest kind.
     """
     held, new, n = _bootstrap(docs)
     return held.join(small(new, n), ["ka", "kb"], "left").select("doc_id", "base", F.coalesce("added", F.array().cast(_ADDED)).alias("added"))
@@ -135,6 +147,30 @@ def redact(docs: DataFrame, *keep: str) -> DataFrame:
     return rows.select(*keep)
 
 
+def _run(words: Column, at: Column) -> Column:
+    """A hash of CONTEXT words from a place on."""
+    return F.xxhash64(*[F.get(words, at + j) for j in range(CONTEXT)])
+
+
+def _places(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(pattern, places): where a pattern's words stand in the corpus, whatever is beside them. patterns: pattern, beside, run.
+
+    All runs of words are looked up in the set of the patterns' runs before any is counted, or, if the set is of more
+    than RUNS_SENT, counted first; runs are neither shuffled nor joined one by one.
+    """
+    wanted = patterns.select("run").distinct()
+    if not (n := wanted.count()):
+        return patterns.select("pattern", F.col("beside").alias("places"))
+    words = F.filter(F.split(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), r"\s+"), lambda w: w != "")
+    runs = pick(docs, "text").select(words.alias("w")).filter(F.size("w") >= CONTEXT)
+    runs = runs.select(F.explode(F.transform(F.slice("w", 1, F.size("w") - CONTEXT + 1), lambda x, i: F.xxhash64(x, *[F.get("w", i + j) for j in range(1, CONTEXT)]))).alias("run"))
+    if n <= RUNS_SENT:
+        runs = runs.filter(F.expr(f"run in ({', '.join(str(r.run) + 'L' for r in wanted.collect())})"))
+    counted = runs.groupBy("run").agg(F.count("*").alias("all"))
+    counted = stored(counted if n <= RUNS_SENT else counted.join(wanted, "run"), "places")
+    return stored(patterns.join(small(counted, n), "run", "left").select("pattern", F.greatest("beside", F.coalesce("all", F.lit(0))).alias("places")), "often")
+
+
 def _bootstrap(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """(rows with key, doc_id and base; added spans by key; the latter's number), all stored."""
     found = base_spans(docs, "doc_id")
@@ -143,37 +179,39 @@ def _bootstrap(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     near = found.withColumn("has", text.rlike("[0-9@]")).withColumn("all", plain)
     cut = lambda s: F.regexp_replace(s["value"], r"[\p{Punct}]+$", "")
     apart = lambda s, base: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    others = F.transform(F.filter("all", lambda s: apart(s, F.col("base"))), lambda s: F.struct(_context(text, s["start"]).alias("pattern"), s["start"].alias("start"), (s["start"] + F.char_length(cut(s))).alias("end"), cut(s).alias("value")))
-    seeds = F.transform("base", lambda s: F.struct(_context(text, s["start"]).alias("pattern"), s["kind"].alias("kind"), s["value"].alias("value")))
+    sides = lambda s: F.filter(F.array(_context(text, s["start"], False), _context(text, s["end"], True)), lambda p: p.isNotNull()).alias("patterns")
+    others = F.transform(F.filter("all", lambda s: apart(s, F.col("base"))), lambda s: F.struct(sides(s), s["start"].alias("start"), (s["start"] + F.char_length(cut(s))).alias("end"), cut(s).alias("value")))
+    seeds = F.transform("base", lambda s: F.struct(sides(s), s["kind"].alias("kind"), s["value"].alias("value")))
     held = stored(near.select(*_key(), "doc_id", "base", others.alias("others"), seeds.alias("seeds")), "spans")
 
-    seed = held.select(F.explode("seeds").alias("s")).select("s.*").filter("pattern is not null")
-    often = stored(seed.groupBy("pattern").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_SEEDS).select("pattern"), "patterns")
-    kinds = seed.join(small(often, often.count()), "pattern").distinct().groupBy("pattern", "kind").agg(F.count("*").alias("n"))
-    strong = kinds.groupBy("pattern").agg(F.sum("n").alias("n"), F.max_by("kind", F.struct("n", -F.col("kind"))).alias("kind")).filter(F.col("n") >= MIN_SEEDS)
-    patterns = stored(strong.select("pattern", "kind"), "patterns")
-    count = patterns.count()
-
-    words = F.filter(F.split(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), r"\s+"), lambda w: w != "")
-    runs = pick(docs, "text").select(words.alias("w")).filter(F.size("w") > CONTEXT)
-    runs = runs.select(F.explode(F.transform(F.slice("w", 1, F.size("w") - CONTEXT), lambda x, i: F.xxhash64(x, *[F.get("w", i + j) for j in range(1, CONTEXT)]))).alias("run"))
-    # counted before they meet the patterns, by a 64-bit hash of their words: common runs are as many rows as there are tasks
-    runs = runs.groupBy("run").agg(F.count("*").alias("places"))
-    hashed = patterns.select("pattern", F.split("pattern", " ").alias("w")).select("pattern", F.xxhash64(*[F.get("w", F.lit(j)) for j in range(CONTEXT)]).alias("run"))
-    places = stored(runs.join(small(hashed, count), "run").select("pattern", "places"), "places")
-
-    other = held.select(F.explode("others").alias("s")).select("s.pattern", "s.value").filter("pattern is not null")
-    edges = seed.select("pattern", "value", F.lit(True).alias("seed")).unionAll(other.select("pattern", "value", F.lit(False).alias("seed"))).join(small(patterns.select("pattern"), count), "pattern")
-    edges = stored(edges.groupBy("pattern", "value").agg(F.count("*").alias("n"), F.max("seed").alias("seed")), "edges")
-    scores = edges.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("score"))
+    # the graph: places of each instance beside each pattern; a seed's value is one wherever it stands
+    seen = held.select(F.explode("seeds").alias("s")).select("s.patterns", "s.value", "s.kind").unionAll(held.select(F.explode("others").alias("s")).filter("s.end > s.start").select("s.patterns", "s.value", F.lit(None).cast("int").alias("kind")))
+    edges = stored(seen.select(F.explode("patterns").alias("pattern"), "value", "kind").groupBy("pattern", "value").agg(F.count("*").alias("n"), F.max("kind").alias("kind")), "edges")
+    # a pattern of fewer different instances never gets known; its places count with its instances all the same
+    often = edges.groupBy("pattern").agg(F.count("*").alias("different"), F.sum("n").alias("beside")).filter(F.col("different") >= MIN_KNOWN).select("pattern", "beside")
+    often = _places(docs, stored(often.withColumn("run", _run(F.split(F.substring("pattern", 3, 2**31 - 1), " "), F.lit(0))), "often"))
+    live = stored(edges.join(small(often, often.count()), "pattern").withColumn("side", F.substring("pattern", 1, 1)), "live")
+    whole = edges.groupBy("value", F.substring("pattern", 1, 1).alias("side")).agg(F.sum("n").alias("all"))
+    seeds = edges.filter("kind is not null").groupBy("value").agg(F.max("kind").alias("kind")).select("value", "kind", F.lit(1.0).alias("score"))
+    known, now = stored(seeds, "known"), None
+    seeds = known
     for _ in range(ROUNDS):
-        sure = edges.join(scores, "value").groupBy("pattern").agg(F.sum(F.col("n") * F.col("score")).alias("good"))
-        sure = stored(sure.join(places, "pattern").select("pattern", F.least(F.lit(1.0), F.col("good") / F.greatest("places", F.lit(1))).alias("confidence")), "patterns")
-        wrong = F.exp(F.sum(F.log(F.greatest(F.lit(1e-6), 1 - F.col("confidence")))))
-        scores = stored(edges.join(sure, "pattern").groupBy("value").agg(F.when(F.max("seed"), 1.0).otherwise(1 - wrong).alias("score")), "scores")
-    good = stored(sure.filter(F.col("confidence") >= MIN_CONFIDENCE).join(patterns, "pattern").select("pattern", "kind"), "patterns")
-
-    new = held.select("ka", "kb", F.explode("others").alias("s")).select("ka", "kb", "s.*").filter("pattern is not null and end > start").join(small(good, good.count()), "pattern")
+        beside = live.select("pattern", "places", "value", "n").join(known, "value")
+        by_kind = beside.groupBy("pattern", "places", "kind").agg(F.count("*").alias("different"), F.sum(F.col("n") * F.col("score")).alias("good"))
+        sure = by_kind.groupBy("pattern", "places").agg(F.sum("different").alias("different"), F.sum("good").alias("good"), F.max_by("kind", F.struct("good", -F.col("kind"))).alias("kind"))
+        sure = stored(sure.filter(F.col("different") >= MIN_KNOWN).select("pattern", "kind", (F.col("good") / (F.col("places") + 1)).alias("confidence")).filter(F.col("confidence") >= MIN_CONFIDENCE), "patterns")
+        count = sure.count()
+        scored = live.select("pattern", "value", "side", "n").join(small(sure, count), "pattern").groupBy("value", "side").agg(F.sum("n").alias("n"), F.sum(F.log(1 - F.col("confidence"))).alias("wrong"), F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind"))
+        scored = scored.join(whole, ["value", "side"]).join(seeds, "value", "left_anti")
+        fresh = scored.groupBy("value").agg(F.max_by("kind", F.struct(-F.col("wrong"), -F.col("kind"))).alias("kind"), (1 - F.exp(F.sum("wrong"))).alias("score"), F.max(F.col("n") / F.col("all")).alias("share"))
+        fresh = fresh.filter((F.col("score") >= MIN_SCORE) & (F.col("share") >= MIN_SHARE)).select("value", "kind", "score")
+        known = stored(seeds.unionAll(fresh), "known")
+        was, now = now, (count, known.count(), round(sure.agg(F.sum("confidence")).first()[0] or 0.0, 2))
+        if now == was:
+            break
+
+    new = held.select("ka", "kb", F.explode("others").alias("s")).select("ka", "kb", "s.start", "s.end", "s.value", F.explode("s.patterns").alias("pattern")).filter("end > start").join(small(sure, count), "pattern")
+    new = new.groupBy("ka", "kb", "start", "end", "value").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind"))
     new = stored(new.groupBy("ka", "kb").agg(F.array_sort(F.collect_set(F.struct("start", "kind", "end", "value"))).alias("added")), "added")
     return held, new, new.count()
 

@@ -99,50 +99,72 @@ def _lexicons(sample: DataFrame) -> dict[frozenset[int], dict[str, float]]:
 
 
 class Featuriser:
-    """Dense features of texts; what a token contributes is remembered for frequent tokens."""
+    """Dense features of texts under one or more lexicons; what a token contributes is remembered for frequent tokens."""
 
-    def __init__(self, lexicon: dict[str, float]):
-        self.lexicon, self.codes, self.table = lexicon, {}, []
+    def __init__(self, *lexicons: dict[str, float]):
+        self.n = len(lexicons)
+        self.weights = {t: np.array([x.get(t, 0.0) for x in lexicons]) for t in set().union(*lexicons)}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.codes: dict[str, int] = {}
+        self.table = np.zeros((4096, 4 + self.n))
 
     def _learn(self, tokens: set[str]) -> None:
         if len(self.codes) > _WORDS_KEPT:
-            self.codes, self.table = {}, []
-        for t in tokens:
-            if t not in self.codes:
-                word, hidden = terms_of(t)
-                weight = max((self.lexicon.get(x, 0.0) for x in _stems(word)), default=0.0)
-                self.codes[t] = len(self.table)
-                self.table.append((weight, word in SECOND_PERSON, hidden, len(t) > 2 and t.isupper(), len(word)))
+            self._forget()
+        rows, hits = [], []
+        for t in tokens - self.codes.keys():
+            word, hidden = terms_of(t)
+            found = [self.weights[x] for x in _stems(word) if x in self.weights]
+            if found:
+                hits.append((len(self.codes), np.max(found, axis=0)))
+            self.codes[t] = len(self.codes)
+            rows.append((word in SECOND_PERSON, hidden, len(t) > 2 and t.isupper(), len(word)))
+        if rows:
+            end = len(self.codes)
+            if end > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros((max(end, len(self.table)), 4 + self.n))])
+            self.table[end - len(rows) : end, :4] = rows
+            for at, weights in hits:
+                self.table[at, 4:] = weights
 
     def __call__(self, texts: list[str]) -> np.ndarray:
+        """By text, lexicon and feature."""
         split = [t.split() for t in texts]
         self._learn(set().union(*split) if split else set())
         n = np.array([len(s) for s in split], np.int64)
         codes = np.fromiter((self.codes[t] for s in split for t in s), np.int64, int(n.sum()))
-        out = np.zeros((len(texts), len(FEATURES)))
-        out[:, 12] = np.log1p(n)
+        out = np.zeros((len(texts), self.n, len(FEATURES)))
+        out[:, :, 12] = np.log1p(n)[:, None]
         size = np.maximum(n, 1)
         chars = np.maximum([len(t) for t in texts], 1) if texts else size
-        out[:, 9] = [t.count("!") for t in texts] / chars
-        out[:, 10] = [t.count("?") for t in texts] / chars
-        out[:, 11] = [sum(map(t.count, "#$%&*@|")) for t in texts] / chars
+        out[:, :, 9] = (np.array([t.count("!") for t in texts]) / chars)[:, None]
+        out[:, :, 10] = (np.array([t.count("?") for t in texts]) / chars)[:, None]
+        out[:, :, 11] = (np.array([sum(map(t.count, "#$%&*@|")) for t in texts]) / chars)[:, None]
         if not len(codes):
             return out
-        weight, second, hidden, upper, length = (x[codes] for x in np.array(self.table, np.float64).T)
+        second, hidden, upper, length = (self.table[codes, i] for i in range(4))
         doc = np.repeat(np.arange(len(texts)), n)
         total = lambda x: np.bincount(doc, x, len(texts))
-        hit = weight > 0
-        at = np.flatnonzero(hit)
+        for i, x in ((6, second), (7, hidden), (8, upper), (13, length)):
+            out[:, :, i] = (total(x) / size)[:, None]
+        for i in range(self.n):
+            self._by_lexicon(out[:, i], self.table[codes, 4 + i], second, codes, doc, size)
+        return out
+
+    @staticmethod
+    def _by_lexicon(out: np.ndarray, weight: np.ndarray, second: np.ndarray, codes: np.ndarray, doc: np.ndarray, size: np.ndarray) -> None:
+        at = np.flatnonzero(weight)
         near = np.zeros(len(at))
         for s in (-5, -4, -3, -2, -1, 1, 2, 3, 4, 5):
             other = np.clip(at + s, 0, len(codes) - 1)
             near = np.maximum(near, (second[other] > 0) & (doc[other] == doc[at]))
-        out[:, 0], out[:, 1], out[:, 2] = total(weight) / size, total(hit) / size, total(hit)
-        out[:, 3] = np.bincount(np.unique(np.stack([doc[at], codes[at]]), axis=1)[0], minlength=len(texts))
+        total = lambda x: np.bincount(doc[at], x, len(size))
+        out[:, 2] = np.bincount(doc[at], minlength=len(size))
+        out[:, 0], out[:, 1], out[:, 5] = total(weight[at]) / size, out[:, 2] / size, total(near) / size
+        out[:, 3] = np.bincount(np.unique(np.stack([doc[at], codes[at]]), axis=1)[0], minlength=len(size))
         np.maximum.at(out[:, 4], doc[at], weight[at])
-        out[:, 5] = np.bincount(doc[at], near, len(texts)) / size
-        out[:, 6], out[:, 7], out[:, 8], out[:, 13] = total(second) / size, total(hidden) / size, total(upper) / size, total(length) / size
-        return out
 
 
 class Boosted:
@@ -230,7 +252,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS):
     # the sample's ids are about sample_rows, so they may go to every reader of the texts
     sample = stored(pick(docs, "doc_id", "text").join(F.broadcast(marks), "doc_id").select(F.col("text").cast("string").alias("text"), "toxic", fold.alias("fold")), "sample")
     lexicons = _lexicons(sample)
-    featurisers = {left_out: Featuriser(lexicon) for left_out, lexicon in lexicons.items()}
+    featurisers = [Featuriser(*[lexicons[frozenset({j, k})] for k in range(FOLDS)]) for j in range(FOLDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
@@ -238,8 +260,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS):
             x = np.zeros((len(texts), FOLDS, len(FEATURES)))
             for j in np.unique(folds).tolist():
                 at = np.flatnonzero(folds == j)
-                for k in range(FOLDS):
-                    x[at, k] = featurisers[frozenset({j, k})]([texts[i] for i in at])
+                x[at] = featurisers[j]([texts[i] for i in at])
             yield pa.RecordBatch.from_arrays([b.column("toxic"), b.column("fold"), pa.array([r.tobytes() for r in x], pa.binary())], names=["toxic", "fold", "x"])
 
     rows = sample.mapInArrow(run, "toxic int, fold int, x binary").collect()
@@ -269,7 +290,7 @@ def score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, ca
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "_text"):
-            x = featurise([t or "" for t in b.column("_text").to_pylist()])
+            x = featurise([t or "" for t in b.column("_text").to_pylist()])[:, 0]
             s = np.full(len(x), model) if isinstance(model, float) else model.score(x)
             yield pa.RecordBatch.from_arrays([*b.drop_columns(["_text"]).columns, pa.array(s)], names=[*b.schema.names[:-1], "score"])
 

@@ -290,6 +290,14 @@ def upper(x: Any) -> Expr:
     return Expr(lambda env: F.translate(lower_(x, env), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
 
 
+def collate(x: Any, name: str) -> Expr:
+    """x as a collation compares it: nocase folds A-Z, rtrim leaves out closing spaces, binary is x itself."""
+    how = {"binary": lambda c: c, "nocase": _fold, "rtrim": lambda c: F.regexp_replace(c, " +$", "")}
+    if name.lower() not in how:
+        raise CompileError(f"no collation {name}")
+    return Expr(lambda env: how[name.lower()](lower_(x, env)))
+
+
 def length(x: Any) -> Expr:
     return Expr(lambda env: F.length(lower_(x, env)).cast("long"))
 

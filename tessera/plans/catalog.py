@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import (
-    Expr, add, and_, asc, avg, between, coalesce, contains, count, count_distinct, desc, divide, ends_with, eq, eq_folded, exists, glob, gt, gte, identifier, ilike, in_, in_folded, is_not_null, is_null, length, like, lower, lt, lte, max_, min_, multiply, ne, ne_folded, not_, not_between, not_exists, not_ilike, not_in, not_in_folded, not_like, or_, param_fn, ph, raw, sql, starts_with, subtract, sum_, upper,
+    Expr, add, and_, asc, avg, between, coalesce, collate, contains, count, count_distinct, desc, divide, ends_with, eq, eq_folded, exists, glob, gt, gte, identifier, ilike, in_, in_folded, is_not_null, is_null, length, like, lower, lt, lte, max_, min_, multiply, ne, ne_folded, not_, not_between, not_exists, not_ilike, not_in, not_in_folded, not_like, or_, param_fn, ph, raw, sql, starts_with, subtract, sum_, upper,
 )
 from ..operators.adapter import Adapter, Where
 from ..operators.mutations import TableStore, check_reference, check_unique, consume_one, delete, delete_with_references, increment_one, insert, insert_or_skip, new_rows, update, upsert
@@ -685,3 +685,50 @@ def _(s):
 def _(s):
     where = [Where("c_nationkey", 5, connector="OR"), Where("c_acctbal", 1000, "gt"), Where("c_name", "00007", "contains", "OR"), Where("c_nationkey", 3, "ne")]
     return _adapter(s).find_many("customer", where, select=["c_custkey"])
+
+
+# --- catalog, codecs, collations, fragments for dates and documents
+
+
+@_query("S10_catalog_scan", "SELECT table_name, column_name, ordinal_position::INTEGER AS position, column_name IN ('r_regionkey', 'n_nationkey', 'c_custkey') AS is_unique FROM information_schema.columns WHERE table_name IN ('region', 'nation', 'customer')")
+def _(s):
+    return s.db.catalog(s.region, s.nation, s.customer).select("table_name", "column_name", "position", "is_unique")
+
+
+@_query("P12_decode_on_read", "SELECT doc_id, toxic <> 0 AS toxic, make_timestamp(quality * 86400000000) AS day FROM labels")
+def _(s):
+    t = Table("labels", {"doc_id": Column("doc_id"), "toxic": Column("toxic", "boolean"), "day": Column("day", "timestamp")})
+    db = Database(s.spark, frames={"labels": s.db.frame("labels").withColumn("day", F.col("quality").cast("long") * 86400)})
+    return query(db).from_(t).df().withColumn("day", F.col("day").cast("timestamp_ntz"))
+
+
+@_query("R23_decode_in_relations", "SELECT d.doc_id, l.toxic <> 0 AS toxic FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
+def _(s):
+    t = Table("labels", {"doc_id": Column("doc_id"), "toxic": Column("toxic", "boolean")}, primary_key=("doc_id",))
+    db = Database(s.spark, frames={n: s.db.frame(n) for n in ("documents", "labels")})
+    load = Loader(db, RelationGraph({"documents": db.table("documents", ("doc_id",)), "labels": t}, {"documents": {"label": one("labels", "doc_id", "doc_id")}}))
+    return load.find_many("documents", {"columns": {"doc_id": True}, "with": {"label": {"columns": {"toxic": True}}}}).select("doc_id", F.col("label.toxic").alias("toxic"))
+
+
+@_query("R14_hidden_keys", "SELECT 'c_name,orders' AS outer_fields, 'o_totalprice' AS inner_fields, count(*) AS n FROM customer")
+def _(s):
+    rows = s.loader().find_many("customer", {"columns": {"c_name": True}, "with": {"orders": {"columns": {"o_totalprice": True}}}})
+    inner = rows.schema["orders"].dataType.elementType.names
+    return rows.agg(F.lit(",".join(rows.columns)).alias("outer_fields"), F.lit(",".join(inner)).alias("inner_fields"), F.count("*").alias("n"))
+
+
+_where("DD10_nocase", "customer", "c_custkey", lambda s, t: eq(collate(t["c_mktsegment"], "nocase"), "building"), "lower(c_mktsegment) = 'building'")
+_where("DD10_rtrim", "customer", "c_custkey", lambda s, t: eq(collate(sql("concat({}, '  ')", t["c_mktsegment"]), "rtrim"), "BUILDING"), "c_mktsegment = 'BUILDING'")
+
+
+@_query("E15_date_fragment", "SELECT l_linenumber AS line, max(year(l_shipdate))::INTEGER AS y FROM lineitem GROUP BY 1")
+def _(s):
+    t = s.lineitem
+    return s.q(t).select({"line": t["l_linenumber"], "y": max_(sql("year({})", t["l_shipdate"]))}).group_by(t["l_linenumber"]).df()
+
+
+@_query("E16_document_fragment", "SELECT c_custkey, c_name AS name, c_nationkey::VARCHAR AS nation FROM customer")
+def _(s):
+    c = s.customer
+    text = sql("to_json(named_struct('name', {}, 'nation', {}))", c["c_name"], c["c_nationkey"])
+    return s.q(c).select({"c_custkey": c["c_custkey"], "name": sql("get_json_object({}, '$.name')", text), "nation": sql("get_json_object({}, '$.nation')", text)}).df()

@@ -449,10 +449,28 @@ def diff(before: Mapping[str, Any], after: Mapping[str, Any], renamed_tables: Ma
     return out
 
 
-def introspect(frames: Mapping[str, DataFrame]) -> dict:
-    """A snapshot of live tables: columns, types and nullability."""
+def introspect(frames: Mapping[str, DataFrame], declared: Mapping[str, Any] | None = None) -> dict:
+    """A snapshot of live tables: columns, types and nullability from the rows, the rest from the snapshot that declares them.
+
+    Of a declared table only that is taken whose columns are there; declared tables that aren't there are left out.
+    """
     kinds = {"bigint": "integer", "int": "integer", "smallint": "integer", "double": "real", "float": "real", "binary": "blob", "string": "text"}
-    return {"tables": {n: {"columns": {f.name: {"type": kinds.get(f.dataType.simpleString(), f.dataType.simpleString()), "notNull": not f.nullable, "default": None, "generated": None, "collate": None, "unique": False, "autoincrement": False} for f in df.schema}, "primaryKey": [], "uniques": [], "foreignKeys": [], "checks": {}, "indexes": [], "appendOnly": None, "strict": False, "withoutRowid": False} for n, df in frames.items()}}
+    out: dict[str, Any] = {"tables": {}}
+    for n, df in frames.items():
+        said = (declared or {"tables": {}})["tables"].get(n, {})
+        have = set(df.columns)
+        cols = {}
+        for f in df.schema:
+            c = said.get("columns", {}).get(f.name, {})
+            kind = kinds.get(f.dataType.simpleString(), f.dataType.simpleString())
+            cols[f.name] = {"type": c["type"] if c and affinity(c["type"]) == affinity(kind) else kind, "notNull": c.get("notNull", not f.nullable), **{k: c.get(k, d) for k, d in (("default", None), ("generated", None), ("collate", None), ("unique", False), ("autoincrement", False))}}
+        whole = lambda names: set(names) <= have
+        pk = said.get("primaryKey", [])
+        out["tables"][n] = {
+            "columns": cols, "primaryKey": pk if whole(pk) else [], "uniques": [u for u in said.get("uniques", []) if whole(u)], "foreignKeys": [f for f in said.get("foreignKeys", []) if whole(f["columns"])], "checks": dict(said.get("checks", {})),
+            "indexes": [x for x in said.get("indexes", []) if whole(c["column"] for c in x["columns"] if "column" in c)], "appendOnly": said.get("appendOnly"), "strict": said.get("strict", False), "withoutRowid": said.get("withoutRowid", False),
+        }
+    return out
 
 
 def vocabulary_divergences(values: DataFrame) -> DataFrame:

@@ -157,6 +157,18 @@ class Database:
         """(table, column, type) of the tables used so far."""
         return [(t, c, k) for t, df in sorted(self.frames.items()) for c, k in df.dtypes]
 
+    def catalog(self, *tables: Table) -> DataFrame:
+        """Rows (table_name, column_name, position, type, key_position, is_unique, indexed, refers_to) of declared tables."""
+        rows = []
+        for t in tables:
+            kinds = dict(self.frame(t.name).dtypes)
+            indexed = {k for x in t.indexes for k in (x.columns if isinstance(x, Index) else x[1]) if isinstance(k, str)}
+            for i, (k, c) in enumerate(t.columns.items()):
+                at = t.key.index(k) + 1 if k in t.key else None
+                unique = c.unique or (k,) in t.uniques or t.key == (k,)
+                rows.append((t.name, c.name, i + 1, kinds.get(c.name), at, unique, k in indexed, ".".join(c.references) if c.references else None))
+        return self.spark.createDataFrame(rows, "table_name string, column_name string, position int, type string, key_position int, is_unique boolean, indexed boolean, refers_to string")
+
 
 def list_source(spark: SparkSession, text: str, kind: str) -> DataFrame:
     """The elements of a JSON list as rows (value)."""

@@ -145,7 +145,7 @@ def test_batches_of_codecs_and_checks(spark):
     began = time.time()
     new = M.new_rows(spark, t, old, [{"id": i, "ok": i % 2 == 0, "doc": {"i": i}, "at": when, "n": i} for i in range(5000)])
     done = M.insert(t, old, new).rows.collect()
-    assert time.time() - began < 10 and len(done) == 5000
+    assert time.time() - began < 30 and len(done) == 5000
     assert tuple(min(done)) == (0, 1, '{"i":0}', spark.sql("select unix_seconds(timestamp'2024-05-06 07:08:09') as x").first().x, 0, 0) and all(r.twice == 2 * r.n for r in done)
     one = M.insert(t, old, M.new_rows(spark, t, old, [{"id": 1, "n": 3}, {"id": 2, "n": X.add(1, 1)}])).rows
     assert [(r.n, r.twice) for r in M.update(t, one, {"n": 7}, X.eq(t["id"], 1)).rows.orderBy("id").collect()] == [(7, 14), (2, 4)]

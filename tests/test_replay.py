@@ -173,3 +173,18 @@ def test_impact_with_rows(spark):
     assert sorted(r.name for r in kit.impact_closure(edges, "a").collect()) == ["b", "c"] and kit.impact_closure(edges, "zz").count() == 0
     snap = kit.snapshot([Table("a", {"id": Column("id", primary_key=True)}), Table("b", {"id": Column("id", primary_key=True), "a": Column("a", references=("a", "id"))}), Table("c", {"b": Column("b", references=("b", "id"))})])
     assert kit.impact_with_rows(snap["tables"], {n: spark.range(k) for n, k in (("a", 1), ("b", 2), ("c", 3))}, "a") == [("b", True, 2), ("c", False, 3)]
+
+
+def test_introspection_keeps_what_is_declared(spark):
+    a = Table("a", {"id": Column("id", "integer", primary_key=True), "x": Column("x", "boolean", unique=True, default=1), "gone": Column("gone", "text")}, uniques=(("x", "gone"),), indexes=(Index(("x",), "i"), Index(("gone",), "j")))
+    live = kit.introspect({"a": spark.createDataFrame([], "id long, x int, n double"), "b": spark.range(1)}, kit.snapshot([a]))
+    t = live["tables"]["a"]
+    assert t["primaryKey"] == ["id"] and t["uniques"] == [] and [x["name"] for x in t["indexes"]] == ["i"] and t["columns"]["x"]["unique"] and list(t["columns"]) == ["id", "x", "n"]
+    assert live["tables"]["b"]["primaryKey"] == []
+    assert kit.diff(live, kit.snapshot([a])).statements
+
+
+def test_catalog(spark):
+    a = Table("a", {"id": Column("id", primary_key=True), "b": Column("b", references=("b", "id")), "c": Column("c", unique=True)}, indexes=(Index(("b",)),))
+    rows = Database(spark, frames={"a": spark.createDataFrame([], "id long, b long, c string")}).catalog(a).collect()
+    assert [tuple(r)[1:] for r in rows] == [("id", 1, "bigint", 1, True, False, None), ("b", 2, "bigint", None, False, True, "b.id"), ("c", 3, "string", None, True, False, None)]

@@ -69,8 +69,27 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(table(spark, sf_dir, "documents"))
-    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
-    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    size = lambda spans: F.aggregate(spans, F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return found.select("doc_id", "n_bytes", size("spans").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), size("near_spans").alias("n_near"))
+
+
+def _repeated(n: int) -> str:
+    """Maximal byte ranges (s) that strings of n bytes cover which start elsewhere too, on hexadecimal texts in chunks of 2,048 starts."""
+    return f"""
+     c{n} AS (SELECT doc_id, n, k, substr(x, k * 4096 + 1, {4096 + 2 * n - 2}) AS y FROM (SELECT *, unnest(generate_series(0, (n - {n}) // 2048)) AS k FROM d WHERE n >= {n})),
+     w{n} AS (SELECT doc_id, k * 2048 + i AS p, md5_number(substr(y, 2 * i + 1, {2 * n})) AS s FROM (SELECT *, unnest(generate_series(0, least(2047, n - {n} - k * 2048))) AS i FROM c{n})),
+     r{n} AS (SELECT doc_id, p, p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) > {n} AS apart FROM w{n} JOIN (SELECT s FROM w{n} GROUP BY s HAVING count(*) > 1) USING (s)),
+     s{n} AS (SELECT doc_id, min(p) AS a, max(p) + {n} AS b FROM (SELECT *, sum(CASE WHEN apart THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM r{n}) GROUP BY doc_id, run)"""
+
+OP5_SQL = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents),{_repeated(400)},{_repeated(300)},
+     k AS (SELECT doc_id, string_agg(substr(x, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS kept
+           FROM (SELECT d.doc_id, x, coalesce(lag(s.b) OVER (PARTITION BY d.doc_id ORDER BY s.a), 0) AS a, s.a AS b FROM d JOIN s400 s USING (doc_id)
+                 UNION ALL SELECT doc_id, x, b AS a, n AS b FROM d JOIN (SELECT doc_id, max(b) AS b FROM s400 GROUP BY doc_id) USING (doc_id)) GROUP BY doc_id)
+SELECT d.doc_id, n::BIGINT AS n_bytes, coalesce(r.removed, 0)::BIGINT AS n_removed, coalesce(r.spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept, x))) AS kept_sha256, coalesce(q.removed, 0)::BIGINT AS n_near
+FROM d LEFT JOIN (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM s400 GROUP BY doc_id) r USING (doc_id)
+     LEFT JOIN (SELECT doc_id, sum(b - a) AS removed FROM s300 GROUP BY doc_id) q USING (doc_id) LEFT JOIN k USING (doc_id)"""
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,4 +155,4 @@ FROM d LEFT JOIN places ON d.doc_id = places.doc_id LEFT JOIN items ON d.doc_id
 
 
 QUERIES = {"op1_warc": op1_warc, "op2_html_text": op2_html_text, "op3_pii": op3_pii, "op4_toxicity": op4_toxicity, "op5_repeats": op5_repeats, "op6_minhash": op6_minhash, "op7_url_rules": op7_url_rules, "op8_topk": op8_topk, "op9_packing": op9_packing, "op10_decontaminate": op10_decontaminate}
-ORACLE_SQL = {"op1_warc": OP1_SQL, "op6_minhash": OP6_SQL, "op8_topk": OP8_SQL, "op10_decontaminate": OP10_SQL}
+ORACLE_SQL = {"op1_warc": OP1_SQL, "op5_repeats": OP5_SQL, "op6_minhash": OP6_SQL, "op8_topk": OP8_SQL, "op10_decontaminate": OP10_SQL}

@@ -266,8 +266,10 @@ def test_repeats(spark, docs):
             t += rng.choice(shared)[a : a + rng.randint(10, 60)] + rnd(rng.randint(0, 20))
         texts.append(t)
     texts += texts[20:26]
-    got = {r.doc_id: (r.n_bytes, [(s.start, s.end) for s in r.spans], bytes(r.kept)) for r in substrings.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), length=20, gram=6).collect()}
+    got = {r.doc_id: (r.n_bytes, [(s.start, s.end) for s in r.spans], bytes(r.kept)) for r in substrings.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), length=20, near=15, gram=6).collect()}
     assert [got[i] for i in range(len(texts))] == brute_repeats(texts, 20)
+    near = {r.doc_id: [(s.start, s.end) for s in r.near_spans] for r in substrings.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), length=20, near=15, gram=6).collect()}
+    assert [near[i] for i in range(len(texts))] == [spans for _, spans, _ in brute_repeats(texts, 15)]
     assert substrings.remove_repeats(docs).count() == docs.count() and substrings.remove_repeats(empty(docs)).count() == 0
 
 
@@ -276,13 +278,13 @@ def test_merge_of_shards(monkeypatch):
     strings = ["".join(rng.choice("ab") for _ in range(rng.randint(12, 40))).encode() for _ in range(40)] + [b"", b"abc"]
     for length, step in ((12, 6), (12, 50), (12, 1), (7, 2)):
         monkeypatch.setattr(substrings, "STEP", step)
-        whole, parts = (substrings.repeated_starts(strings, [1] * 42, length, size) for size in (1 << 20, 100))
+        whole, parts = (substrings.repeated_starts(strings, [1] * 42, [99] * 42, (length,), size)[0] for size in (1 << 20, 100))
         count = Counter(s[i : i + length] for s in strings for i in range(len(s) - length + 1))
         assert [m.tolist() for m in whole] == [m.tolist() for m in parts] == [[count[s[i : i + length]] > 1 for i in range(len(s) - length + 1)] for s in strings]
         # the merged transform, and its blocks of whole strings, equal those of one shard of all strings, whose order alone is sorted
-        (one, _), (many, _) = (substrings.merged_shard(strings, length, size) for size in (1 << 20, 100))
+        (one, _), (many, _) = (substrings.merged_shard(strings, length, substrings.step_of(length, length), size) for size in (1 << 20, 100))
         places = [p for s, at in zip(strings, np.cumsum([0, *(len(s) + 1 for s in strings)]), strict=False) for p in range(at, at + len(s) - length + 1)]
-        blocks = [np.unique(np.cumsum(s.fresh)[np.argsort(s.order)][places], return_inverse=True)[1].tolist() for s in (one, many)]
+        blocks = [np.unique(np.cumsum(s.common < length // substrings.step_of(length, length))[np.argsort(s.order)][places], return_inverse=True)[1].tolist() for s in (one, many)]
         wide = sum(len(s) + 1 for s in strings) + 1
         assert blocks[0] == blocks[1] and one.short == many.short and (one.keys // wide).tolist() == (many.keys // wide).tolist()
 
@@ -312,9 +314,11 @@ def test_crowded_minimum(spark, monkeypatch):
     monkeypatch.setattr(substrings, "KEY_BYTES", 200)
     monkeypatch.setattr(substrings, "CELLS", (4, 1))
     sent = []
-    monkeypatch.setattr(substrings, "_finer", lambda *a, f=substrings._finer: sent.append(a[2]) or f(*a))
-    got = {r.doc_id: (r.n_bytes, [(s.start, s.end) for s in r.spans], bytes(r.kept)) for r in substrings.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), length=20, gram=6).collect()}
+    monkeypatch.setattr(substrings, "_finer", lambda *a, f=substrings._finer: sent.append(a[3]) or f(*a))
+    got = substrings.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), length=20, near=15, gram=6).collect()
+    got, near = {r.doc_id: (r.n_bytes, [(s.start, s.end) for s in r.spans], bytes(r.kept)) for r in got}, {r.doc_id: [(s.start, s.end) for s in r.near_spans] for r in got}
     assert [got[i] for i in range(len(texts))] == brute_repeats(texts, 20) and sent == [4, 1]
+    assert [near[i] for i in range(len(texts))] == [spans for _, spans, _ in brute_repeats(texts, 15)]
 
 
 def brute_near(texts, k, percent):
@@ -390,10 +394,13 @@ def test_blocks_within_buckets(spark, monkeypatch):
     assert [got[i] for i in range(20)] == brute_near(texts, 3, 88)
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
     edges = [(i, i + 1) for i in range(0, 30)] + [(50, 40), (40, 60), (7, 7), (None, 3)] + [(100, x) for x in range(101, 140)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(31)}, **{i: 40 for i in (40, 50, 60)}, **{i: 100 for i in range(100, 140)}}
+    monkeypatch.setattr(components, "HUB", 5)  # the hub of 39 links is broadcast
+    again = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r.node: r.component for r in again} == got and len(again) == len(got)
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
@@ -461,7 +468,7 @@ def test_url_rules_planted_in_many_rows(spark):
     labels = spark.range(100_000).select(F.col("id").alias("doc_id"), (~bad).cast("int").alias("quality"))
     began = time.time()
     rules = url_rules.mine_rules(pages, labels.filter("doc_id % 5 > 0"))
-    assert time.time() - began < 60
+    assert time.time() - began < 150  # 2**25 sets of its keys would never end
     assert {frozenset({"p:win", "h:shop"}), frozenset({"p:win", "w:shop"})} <= {frozenset(c) for classes, _ in rules if len(classes) == 2 for c in itertools.product(*classes)}
     apart = url_rules.judge_urls(pages, labels.filter("doc_id % 5 > 0"), []).filter("page_id % 5 = 0").join(labels, F.col("page_id") == F.col("doc_id")).groupBy("verdict", "quality").count().collect()
     n = {(r.verdict, r.quality): r["count"] for r in apart}
@@ -568,6 +575,55 @@ def test_packer_closes_the_fullest():
     assert p.place(4) == (0, 6) and p.place(2) == (4, 0) and p.place(1) == (3, 9)
 
 
+def brute_best_fit(lengths, capacity, limit):
+    """(bin, offset) by asking every open bin; of the fullest the one written last."""
+    bins, out, n, clock = [], [], 0, 0  # [number, free, when it was written]
+    for length in lengths:
+        fits = [b for b in bins if b[1] >= length]
+        if fits:
+            b = min(fits, key=lambda b: (b[1], -b[2]))
+        else:
+            if len(bins) == limit:
+                bins.remove(min(bins, key=lambda b: (b[1], -b[2])))
+            b = [n, capacity, 0]
+            n += 1
+            bins.append(b)
+        out.append((b[0], capacity - b[1]))
+        clock += 1
+        b[1], b[2] = b[1] - length, clock
+        if not b[1]:
+            bins.remove(b)
+    return out
+
+
+def test_packer_equals_asking_every_bin():
+    rng = random.Random(14)
+    for limit in (1, 3, 16):
+        for most in (64, 20):
+            lengths = [rng.randint(1, most) for _ in range(1500)]
+            packer = packing.Packer(64, limit)
+            assert [packer.place(x) for x in lengths] == brute_best_fit(lengths, 64, limit)
+
+
+def test_url_rules_and_pii_on_a_whole_table(spark):
+    """The fixed half of op7 by DuckDB, and the base spans of op3 by plain patterns, on every row of a table."""
+    c = duckdb.connect()
+    host, path = r"regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)", r"regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
+    fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+    rules = sorted(Q.URL_RULES, key=lambda r: -len(r[0] + r[1]))
+    case = " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for h, p, _ in rules)
+    sql = f"SELECT page_id, host, path, CASE {case} END AS rule FROM (SELECT page_id, lower({host}) AS host, {path} AS path FROM '{DATA}/pages.parquet')"
+    got = Q.op7_url_rules(spark, DATA).select("page_id", "host", "path", "rule", "verdict").collect()
+    assert sorted(tuple(r)[:4] for r in got) == sorted(c.sql(sql).fetchall())
+    verdicts = {h + p: v for h, p, v in Q.URL_RULES}
+    assert all(r.verdict == verdicts[r.rule] for r in got if r.rule)
+    texts = dict(c.sql(f"SELECT doc_id, text FROM '{DATA}/documents.parquet'").fetchall())
+    for r in Q.op3_pii(spark, DATA).collect():
+        want = base_spans(texts[r.doc_id] or "")
+        assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(w.startswith(k) for w in want) for k in pii.KINDS]
+
+
 def brute_hits(texts, items):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     windows = {}
@@ -622,7 +678,7 @@ def test_decontamination_of_long_shared_and_repeated_words(spark):
     began = time.time()
     got = {r.doc_id: (r.n_words, [(s.start, s.end) for s in r.spans], list(r["items"])) for r in decontaminate.find_contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")).collect()}
     assert got == {0: (20_003, [(2, 20_002)], ["a"]), 1: (5000, [(0, 5000)], ["b", "d"]), 2: (6000, [(0, 6000)], ["c"]), 3: (8, [], [])}
-    assert time.time() - began < 20  # a dozen small jobs; a quadratic scan takes minutes
+    assert time.time() - began < 60  # a dozen small jobs; a quadratic scan takes minutes
 
 
 def test_pipeline(spark):
@@ -645,3 +701,32 @@ def test_pipeline(spark):
             assert all(not base_spans(r.text) and r.n_chars == len(r.text) for r in kept.collect()) and kept.count() == before.count()
     packed = P.STAGES[-1][1](spark, kept, DATA)
     assert packed.select("doc_id").distinct().count() == kept.count()
+
+
+def test_pipeline_stages_on_awkward_rows(spark):
+    """Repeated and null ids, null and empty texts, repeated rows, columns of clashing names, empty tables."""
+    import corpus_pipeline as P
+
+    rng = random.Random(21)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    one, other = text(80), text(70)
+    (item,) = [r.text for r in spark.read.parquet(f"{DATA}/benchmark.parquet").limit(1).collect()]
+    texts = [(1, one), (1, one), (1, other), (2, one + " more"), (None, one), (None, one), (5, None), (5, None), (5, ""), (6, other + " x"), (7, f"so {item} so"), (8, "ask joe@x.org now"), (9, LONG)]
+    rows = [(i, t, "en", "s", -1 if t is None else len(t), "x", 1) for i, t in texts]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, `TEXT` string, ka int")
+    key = lambda r: (str(r[0]), str(r[1]))
+    kept = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=key)
+    want = {
+        "toxicity": texts,
+        "near_dedup": [(1, one), (1, other), (None, one), (None, one), (5, None), (5, None), (5, ""), *texts[10:]],
+        "decontaminate": [t for t in texts if t[0] != 7],
+        "mask_pii": [(i, t and t.replace("joe@x.org", "<EMAIL>")) for i, t in texts],
+    }
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, DATA)
+        assert tuple(out.columns) == P.COLUMNS and kept(out) == sorted(want[name], key=key), name
+        assert stage(spark, empty(docs), DATA).count() == 0, name
+    masked = {(r.doc_id, r.text): r.n_chars for r in P.mask_pii(spark, docs, DATA).collect()}
+    assert masked[8, "ask <EMAIL> now"] == 15 and masked[5, None] == -1 and masked[5, ""] == 0
+    packed = P.packing(spark, docs, DATA).collect()
+    assert sum(r.piece == 0 for r in packed) == len(texts) and P.packing(spark, empty(docs), DATA).count() == 0

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import pick, pieces, stored, texts_of
@@ -224,6 +225,18 @@ def _rows(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text", F.xxhash64("text").alias("ka"), F.xxhash64(F.lit(7), "text").alias("kb"))
 
 
+@contextmanager
+def _batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within the block tasks send Python at most so many rows at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, with_keys: bool = False) -> DataFrame:
     """Per document row: doc_id, n_shingles (set size), component_id (least doc_id reachable), kept.
 
@@ -259,7 +272,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, with_keys: b
         texts = stored(texts.groupBy("rep").agg(F.first("text").alias("text"), F.first("minima").alias("minima")), "texts")
     pairs = members.filter("rep <> star").select(F.col("rep").alias("a"), F.col("star").alias("b")).distinct()
     side = lambda x: texts.select(F.col("rep").alias(x), F.col("text").alias(f"text_{x}"), F.col("minima").alias(f"minima_{x}"))
-    links = stored(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify(k, percent, least), "a long, b long"), "links")
+    with _batches_of(docs.sparkSession, BLOCK):  # rows hold two texts
+        links = stored(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify(k, percent, least), "a long, b long"), "links")
 
     parts = components(links)
     where = members.select("bucket", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))

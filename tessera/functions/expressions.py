@@ -7,6 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ class Expr:
     """An expression; column(env) lowers it with the placeholders' values. codec, if any, decodes results and encodes values compared with it."""
 
     aggregate = False
+    #: Makes the opposite, where that is more than NOT before the expression.
+    negation: Callable[[], Expr] | None = None
 
     def __init__(self, build: Callable[[Env], Column], codec: Any = None):
         self._build, self.codec = build, codec
@@ -211,20 +214,27 @@ def is_not_null(x: Any) -> Expr:
     return Expr(lambda env: lower_(x, env).isNotNull())
 
 
-def _junction(op):
+def _junction(op, opposite: Callable[[], Callable[..., Expr | None]]):
     def make(*conditions: Any) -> Expr | None:
         """Operands that are None are dropped; of none there is no condition."""
         live = [c for c in conditions if c is not None]
-        return Expr(lambda env: reduce(op, (lower_(c, env) for c in live))) if live else None
+        if not live:
+            return None
+        out = Expr(lambda env: reduce(op, (lower_(c, env) for c in live)))
+        if any(isinstance(c, Expr) and c.negation for c in live):
+            out.negation = lambda: opposite()(*map(not_, live))
+        return out
 
     return make
 
 
-and_ = _junction(lambda a, b: a & b)
-or_ = _junction(lambda a, b: a | b)
+and_ = _junction(lambda a, b: a & b, lambda: or_)
+or_ = _junction(lambda a, b: a | b, lambda: and_)
 
 
 def not_(x: Any) -> Expr:
+    if isinstance(x, Expr) and x.negation:
+        return x.negation()
     return Expr(lambda env: ~lower_(x, env))
 
 
@@ -237,10 +247,20 @@ def not_between(x: Any, low: Any, high: Any) -> Expr:
     return not_(between(x, low, high))
 
 
+def _is_query(values: Any) -> bool:
+    return isinstance(values, DataFrame) or hasattr(values, "df")
+
+
+def _rows(query: Any, env: Env) -> DataFrame:
+    return query if isinstance(query, DataFrame) else query.df(**env)
+
+
 def in_(x: Any, values: Any) -> Expr:
     """x in a list (an empty one holds nothing), or in a one-column DataFrame or query."""
-    if isinstance(values, DataFrame) or hasattr(values, "df"):
-        return Expr(lambda env: lower_(x, env).isin(values if isinstance(values, DataFrame) else values.df(**env)))
+    if _is_query(values):
+        out = Expr(lambda env: lower_(x, env).isin(_rows(values, env)))
+        out.negation = lambda: not_in(x, values)
+        return out
     if isinstance(values, (str, bytes, Placeholder)) or not isinstance(values, Sequence):
         raise CompileError("in_ takes a list, a DataFrame or a query")
     codec = codec_of(x)
@@ -248,14 +268,33 @@ def in_(x: Any, values: Any) -> Expr:
 
 
 def not_in(x: Any, values: Any) -> Expr:
-    """Not in: true for an empty list, whatever x; with a null in the list never true."""
+    """Not in: true for an empty list or query, whatever x; with a null in it never true."""
     if isinstance(values, (list, tuple)) and not values:
         return Expr(lambda env: F.lit(True))
+    if _is_query(values):
+        out = Expr(lambda env: _not_in_rows(lower_(x, env), _rows(values, env)))
+        out.negation = lambda: in_(x, values)
+        return out
     return not_(in_(x, values))
 
 
+def _not_in_rows(x: Column, rows: DataFrame) -> Column:
+    """Spark's own NOT IN broadcasts all rows, however many. This one joins the distinct ones by key; whether there are any, and nulls, it asks apart.
+
+    Rows of several columns, and those that refer to the outer query, are left to Spark.
+    """
+    try:
+        names = rows.columns
+    except AnalysisException:
+        names = []
+    if len(names) != 1:
+        return ~x.isin(rows)
+    null = rows.filter(F.col(quote(names[0])).isNull()).exists()
+    return F.when(x.isin(rows.distinct()), F.lit(False)).when((x.isNotNull() & ~null) | ~rows.exists(), F.lit(True))
+
+
 def exists(query: Any) -> Expr:
-    return Expr(lambda env: (query if isinstance(query, DataFrame) else query.df(**env)).exists())
+    return Expr(lambda env: _rows(query, env).exists())
 
 
 def not_exists(query: Any) -> Expr:

@@ -114,6 +114,37 @@ def test_predicates(spark):
     assert X.and_(None, None) is None and ask(X.or_(None, X.is_null(t["s"]))) == [None]
 
 
+def test_not_in_query(spark):
+    """As SQL has it, nulls included, and joined by key: Spark's own form broadcasts the rows whatever the threshold."""
+    c = duckdb.connect()
+    outer, lists = [1, 2, 3, 3, None], {"some": [1, 3, 3, 7], "null": [1, None], "nulls": [None], "none": []}
+    frame = lambda values: spark.createDataFrame([(v,) for v in values], "k long")
+    sql = lambda values: f"(select unnest({values!r}::bigint[]) as k)".replace("None", "null")
+    db = Database(spark, frames={"t": frame(outer), **{n: frame(v) for n, v in lists.items()}})
+    t = db.table("t")
+    default = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name, values in lists.items():
+            s = query(db).from_(db.table(name))
+            hit, miss = X.in_(t["k"], s), X.not_in(t["k"], s)
+            cases = [
+                (miss, "k not in S"), (X.not_(hit), "k not in S"), (X.not_(miss), "k in S"), (X.or_(miss, X.eq(t["k"], 3)), "k not in S or k = 3"),
+                (X.not_(X.or_(hit, X.eq(t["k"], 2))), "not (k in S or k = 2)"), (X.not_(X.and_(hit, X.eq(t["k"], 3))), "not (k in S and k = 3)"), (X.not_in(X.add(t["k"], 1), s), "k + 1 not in S"),
+                (X.not_in(t["k"], s.df()), "k not in S"),
+            ]
+            for e, text in cases:
+                df = query(db).from_(t).where(e).df()
+                assert "Broadcast" not in df._jdf.queryExecution().sparkPlan().toString(), (name, text)
+                want = c.sql(f"select k from {sql(outer)} where {text.replace('S', sql(values))}").fetchall()
+                assert sorted(map(tuple, df.collect()), key=repr) == sorted(want, key=repr), (name, text)
+            got = query(db).from_(t).select({"k": t["k"], "out": miss}).df().collect()
+            want = c.sql(f"select k, k not in {sql(values)} from {sql(outer)}").fetchall()
+            assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr), name
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", default)
+
+
 def test_mutations(spark, tmp_path):
     t = Table("t", {"id": Column("id", primary_key=True), "n": Column("n", default=7), "at": Column("at", on_update_fn=lambda: 99)}, primary_key=("id",))
     old = spark.createDataFrame([(1, 1, 0), (2, None, 0)], "id long, n long, at long")
